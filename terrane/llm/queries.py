@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from terrane.llm.decontam import OP3_SQL, op3_benchmark_decontamination
 from terrane.llm.mixing import op1_mix_sources
 from terrane.llm.simhash import op10_simhash_near_dedup
+from terrane.llm.substring import OP2_SQL, op2_substring_dedup
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op3_benchmark_decontamination": OP3_SQL}
