@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 from terrane.llm.shared import table
 from terrane.llm.textkit import BYTE_CODES, BYTE_POWERS, LOWER, NOT_ALNUM, Words, chunks, mix, prefix, span
 
+#: Bytes of texts that are tagged together, about.
+TEXT_BYTES = 12 << 20
 #: Labelled documents of each class that the model is fitted on, at most.
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 2500
 PREFIXES = (3, 4, 5, 6)
 THRESHOLD = 0.3
 #: Toxic documents not yet explained that a feature must explain to mark tokens.
@@ -122,18 +124,21 @@ def _cover(docs: list[tuple[int, np.ndarray]]) -> set[int]:
 def fit(texts: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, float, np.ndarray, float]:
     """Feature hashes and weights, bias, pair weights and start weight from (label, text) rows."""
     texts = sorted(set(texts))
-    data = np.frombuffer(b"".join(t for _, t in texts), np.uint8)
-    bounds = np.concatenate(([0], np.cumsum([len(t) for _, t in texts], dtype=np.int64))).astype(np.int64)
-    words, features = token_features(data, bounds)
+    parts, first = [], [np.zeros(1, np.int64)]
+    for _, _, data, bounds in chunks(pa.array([t for _, t in texts], pa.binary()).cast(pa.string())):
+        words, found = token_features(data, bounds)
+        parts.append(found)
+        first.append(words.first[1:] + first[-1][-1])
+    features, first = np.concatenate(parts), np.concatenate(first)
     # the whole token, then the longer prefixes, come first in a document's list
     by_length = [0, *range(len(PREFIXES), 0, -1)]
     docs = []
     for d, (label, _) in enumerate(texts):
-        own = features[words.first[d] : words.first[d + 1]][:, by_length]
+        own = features[first[d] : first[d + 1]][:, by_length]
         _, at = np.unique(own.T.ravel(), return_index=True)
         docs.append((label, own.T.ravel()[np.sort(at)]))
     chosen = np.array(sorted(_cover(docs)), np.uint64)
-    label = np.array([x for x, _ in texts], bool)[words.owner()] if len(words) else np.zeros(0, bool)
+    label = np.repeat(np.array([x for x, _ in texts], bool), np.diff(first))
     tag = np.isin(features, chosen).any(1) & label
     # windows around toxic tokens, and as many without any, evenly over the clean texts
     near = np.unique(np.flatnonzero(tag) // SPAN_TOKENS)
@@ -251,7 +256,10 @@ def tag(docs: DataFrame, model: dict, score: str = "score", spans: str = "spans"
 
     def run(batches):
         for batch in batches:
-            scores, found = _tagged(sent.value, batch.column("text"))
+            scores, found = np.zeros(batch.num_rows), {}
+            for i, j, _, _ in chunks(batch.column("text"), TEXT_BYTES):
+                scores[i:j], some = _tagged(sent.value, batch.column("text").slice(i, j - i))
+                found |= {i + r: x for r, x in some.items()}
             new = {score: pa.array(scores), spans: pa.array([found.get(r, []) for r in range(batch.num_rows)], SPANS)}
             schema = batch.schema
             yield pa.RecordBatch.from_arrays([new[f.name].cast(f.type) if f.name in new else batch.column(i) for i, f in enumerate(schema)], schema=schema)
