@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from terrane.llm.decontam import OP3_SQL, op3_benchmark_decontamination
 from terrane.llm.hmm import op8_hmm_score
+from terrane.llm.lines import op4_line_dedup
 from terrane.llm.media import op6_media_sniffing
 from terrane.llm.mixing import op1_mix_sources
 from terrane.llm.simhash import op10_simhash_near_dedup
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_line_dedup": op4_line_dedup,
     "op6_media_sniffing": op6_media_sniffing,
     "op7_toxicity": op7_toxicity,
     "op8_hmm_score": op8_hmm_score,
