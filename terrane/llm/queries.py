@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from terrane.llm.chat import OP9_SQL, op9_quotation_linking
 from terrane.llm.decontam import OP3_SQL, op3_benchmark_decontamination
 from terrane.llm.hmm import op8_hmm_score
 from terrane.llm.lines import op4_line_dedup
@@ -19,7 +20,8 @@ QUERIES = {
     "op6_media_sniffing": op6_media_sniffing,
     "op7_toxicity": op7_toxicity,
     "op8_hmm_score": op8_hmm_score,
+    "op9_quotation_linking": op9_quotation_linking,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op3_benchmark_decontamination": OP3_SQL}
+ORACLES: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op3_benchmark_decontamination": OP3_SQL, "op9_quotation_linking": OP9_SQL}
