@@ -8,6 +8,7 @@ from terrane.llm.hmm import op8_hmm_score
 from terrane.llm.lines import op4_line_dedup
 from terrane.llm.media import op6_media_sniffing
 from terrane.llm.mixing import op1_mix_sources
+from terrane.llm.pii import op5_pii_surrogates
 from terrane.llm.simhash import op10_simhash_near_dedup
 from terrane.llm.substring import OP2_SQL, op2_substring_dedup
 from terrane.llm.toxicity import op7_toxicity
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_line_dedup": op4_line_dedup,
+    "op5_pii_surrogates": op5_pii_surrogates,
     "op6_media_sniffing": op6_media_sniffing,
     "op7_toxicity": op7_toxicity,
     "op8_hmm_score": op8_hmm_score,
