@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ STATES = 6
 FREQUENT = 1 << 15
 ITERATIONS = 4
 STRETCH = 128
+#: Most frequent words whose counts a task holds when it scores; the counts of others are joined.
+KNOWN = 1 << 17
 #: Weight of the unigram distribution in a state's emissions, in tokens.
 PRIOR = 200.0
 #: Tokens that are run through the recursions together.
@@ -79,6 +82,18 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(counts: DataFrame, most: int) -> list:
+    """The most frequent words, ``most`` at most, from frequent to rare: all above a count that leaves
+    no more than that, found in a histogram, so that no task sends more than belongs to the result."""
+    size = F.floor(F.log2("n") * 64).cast("int")
+    left, least = most, 1 << 20
+    for r in sorted(counts.groupBy(size.alias("size")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r["size"]):
+        if r.words > left:
+            break
+        left, least = left - r.words, r["size"]
+    return sorted(counts.filter(size >= least).collect(), key=lambda r: (-r.n, r.word))
+
+
 class Model:
     """Log-free parameters: start (of texts), inner (of stretches inside texts), step, emit."""
 
@@ -102,7 +117,7 @@ class Model:
         get = self.words.get
         words = text.split()
         out = np.full(len(words) + 1, END, np.int32)
-        out[:-1] = np.fromiter((get(w, OTHER) for w in words), np.int32, len(words))
+        out[:-1] = np.fromiter(map(get, words, repeat(OTHER)), np.int32, len(words))
         return out
 
     def learned(self, sums: dict) -> None:
@@ -112,53 +127,71 @@ class Model:
         self.start, self.inner = ((sums[k] + 1 / n) / (sums[k].sum() + 1) for k in ("start", "inner"))
 
 
-def _forward(emit: np.ndarray, step: np.ndarray, first: np.ndarray, begin: np.ndarray, length: np.ndarray, keep: bool):
-    """Scaled forward recursion over many sequences at once, which are sorted from long to short.
+class Columns:
+    """Many sequences, from long to short, laid out by place: first all first tokens, then all second ones."""
+
+    def __init__(self, begin: np.ndarray, length: np.ndarray) -> None:
+        steps = np.arange(int(length[0]))
+        self.active = np.searchsorted(-length, -steps - 1, "right")  # sequences with more than t tokens
+        self.edge = np.concatenate(([0], np.cumsum(self.active)))
+        place = np.repeat(steps, self.active)
+        self.source = begin[np.arange(self.edge[-1]) - self.edge[place]] + place
+
+    def __iter__(self):
+        return zip(self.edge[:-1].tolist(), self.edge[1:].tolist())
 
-    emit: emission of each token by state; first: initial distribution of each sequence.  Returns
-    log-likelihoods and, if kept, the scaled messages and their scales.
+
+def _forward(emit: np.ndarray, step: np.ndarray, first: np.ndarray, columns: Columns, keep: bool):
+    """Scaled forward recursion over many sequences at once.
+
+    emit: emission of each token by state, laid out by ``columns``; first: initial distribution of each
+    sequence.  Returns log-likelihoods and, if kept, the scaled messages and their scales.
     """
-    most = int(length[0])
-    active = np.searchsorted(-length, -np.arange(1, most + 1), "right")
-    total = np.zeros(len(length))
+    total = np.zeros(len(first))
     messages = np.empty_like(emit) if keep else None
-    scales = np.empty(len(emit)) if keep else None
-    now = first * emit[begin]
-    for t in range(most):
-        n = active[t]
-        at = begin[:n] + t
-        if t:
-            now = (now[:n] @ step) * emit[at]
+    scales = np.empty(len(emit), emit.dtype) if keep else None
+    now = None
+    for a, b in columns:
+        now = (first if now is None else now[: b - a] @ step) * emit[a:b]
         scale = now.sum(1)
-        now = now / scale[:, None]
-        total[:n] += np.log(scale)
+        now /= scale[:, None]
+        total[: b - a] += np.log(scale)
         if keep:
-            messages[at], scales[at] = now, scale
-    return total, messages, scales, active
+            messages[a:b], scales[a:b] = now, scale
+    return total, messages, scales
 
 
 def expected_counts(model: Model, ids: np.ndarray, begin: np.ndarray, length: np.ndarray, inside: np.ndarray, into: dict) -> None:
     """Adds the expected counts of some sequences.  inside: those that don't start their text."""
     order = np.argsort(-length, kind="stable")
     begin, length, inside = begin[order], length[order], inside[order]
-    emit = model.emit.T[ids]
-    first = np.where(inside[:, None], model.inner, model.start)
-    total, messages, scales, active = _forward(emit, model.step, first, begin, length, True)
+    columns = Columns(begin, length)
+    ids = ids[columns.source]
+    emit = model.emit.T.astype(np.float32)[ids]
+    step, turned = model.step.astype(np.float32), np.ascontiguousarray(model.step.T, np.float32)
+    first = np.where(inside[:, None], model.inner, model.start).astype(np.float32)
+    total, messages, scales = _forward(emit, step, first, columns, True)
     into["loglike"] += total.sum()
-    back = np.ones((len(length), len(model.step)))
-    gamma = np.empty_like(messages)
-    for t in range(int(length[0]) - 1, -1, -1):
-        n = active[t]
-        at = begin[:n] + t
-        gamma[at] = messages[at] * back[:n]
+    emit /= scales[:, None]
+    back = np.ones((len(length), len(step)), np.float32)
+    gamma, pairs = np.empty_like(messages), np.zeros(step.shape)
+    edges = list(columns)
+    for t in range(len(edges) - 1, -1, -1):
+        a, b = edges[t]
+        n = b - a
+        gamma[a:b] = messages[a:b] * back[:n]
         if t:
-            out = back[:n] * emit[at] / scales[at][:, None]
-            into["step"] += (messages[at - 1].T @ out) * model.step
-            back[:n] = out @ model.step.T
-    for k in range(len(model.step)):
-        into["emit"][k] += np.bincount(ids, gamma[:, k], into["emit"].shape[1])
-    into["start"] += gamma[begin[~inside]].sum(0)
-    into["inner"] += gamma[begin[inside]].sum(0)
+            out = back[:n] * emit[a:b]
+            before = edges[t - 1][0]
+            pairs += messages[before : before + n].T @ out
+            back[:n] = out @ turned
+    into["step"] += pairs * model.step
+    columns_of = np.ascontiguousarray(gamma.T)
+    for k in range(len(step)):
+        into["emit"][k] += np.bincount(ids, columns_of[k], into["emit"].shape[1])
+    head = gamma[: len(length)]
+    into["start"] += head[~inside].sum(0)
+    into["inner"] += head[inside].sum(0)
 
 
 def _no_counts(model: Model) -> dict:
@@ -229,37 +262,38 @@ def baum_welch(model: Model, docs: DataFrame, iterations: int = ITERATIONS) -> l
 
 
 def _score(sent):
-    """Of each text: tokens, known ones, and log10 sums over frequent tokens and of the states'
-    forward recursion; rare words with their counts."""
+    """Of each text: tokens; known ones and log10 sums but for words that the task has no count of;
+    those words, and how often they come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, base, seen = sent.value
-        emit = model.emit.T
+        model, at, base, gain, end_known = sent.value
+        emit, frequent = model.emit.T, len(model.unigram)
         for batch in batches:
             rows = batch.num_rows
-            n, known, base_sum, likelihood = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows), np.zeros(rows)
+            n, known = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+            base_sum, likelihood, shares = np.zeros(rows), np.zeros(rows), np.zeros(rows)
             rare: list[list[dict]] = []
             ids = []
             for r, text in enumerate(_texts(batch)):
-                x = model.ids(text)
+                words = text.split()
+                x = np.full(len(words) + 1, END, np.int32)
+                x[:-1] = np.fromiter(map(at.get, words, repeat(OTHER)), np.int32, len(words))
+                far = np.flatnonzero(x == OTHER)
+                rare.append([{"w": w, "n": c} for w, c in Counter([words[i] for i in far.tolist()]).items()])
+                n[r], known[r], base_sum[r], shares[r] = len(x), len(words) - len(far) + end_known, base[x].sum(), gain[x].sum()
+                x[x >= frequent] = OTHER
                 ids.append(x)
-                frequent = x != OTHER
-                n[r], known[r], base_sum[r] = len(x), seen[x].sum(), base[x].sum()
-                if frequent.all():
-                    rare.append([])
-                else:
-                    words = text.split()
-                    rare.append([{"w": w, "n": c} for w, c in Counter(words[i] for i in np.flatnonzero(~frequent).tolist()).items()])
             lengths = np.array([len(x) for x in ids])
-            order, at = np.argsort(-lengths, kind="stable"), 0
-            while at < rows:
-                to = max(at + 1, at + int(np.searchsorted(np.cumsum(lengths[order[at:]]), TOKENS_AT_A_TIME, "right")))
-                part = order[at:to]
-                flat = np.concatenate([ids[r] for r in part])
-                begin = np.cumsum(lengths[part]) - lengths[part]
-                total, *_ = _forward(emit[flat], model.step, np.broadcast_to(model.start, (len(part), len(model.step))), begin, lengths[part], False)
+            order, low = np.argsort(-lengths, kind="stable"), 0
+            while low < rows:
+                to = max(low + 1, low + int(np.searchsorted(np.cumsum(lengths[order[low:]]), TOKENS_AT_A_TIME, "right")))
+                part = order[low:to]
+                columns = Columns(np.cumsum(lengths[part]) - lengths[part], lengths[part])
+                flat = np.concatenate([ids[r] for r in part])[columns.source]
+                total, *_ = _forward(emit[flat], model.step, np.broadcast_to(model.start, (len(part), len(model.step))), columns, False)
                 likelihood[part] = total / math.log(10)
-                at = to
+                low = to
+            likelihood += shares
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k"), batch.column("th"), pa.array(n), pa.array(known), pa.array(base_sum), pa.array(likelihood), pa.array(rare, pa.list_(pa.struct([("w", pa.string()), ("n", pa.int64())])))], schema=_SCORED)
 
     return run
@@ -269,30 +303,33 @@ _SCORED = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("th", pa.int32(
 SCORED = "doc_id long, k long, th int, n_tokens long, known long, base double, hmm double, rare array<struct<w:string,n:long>>"
 
 
-def score(docs: DataFrame, train: DataFrame, frequent: int = FREQUENT, iterations: int = ITERATIONS) -> DataFrame:
+def score(docs: DataFrame, train: DataFrame, frequent: int = FREQUENT, iterations: int = ITERATIONS, known: int = KNOWN) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score (log10) of each of ``docs``, by a
     model of the texts of ``train``."""
     counts = stash(word_counts(train), "counts")
     texts = train.count()
     words, kinds = counts.agg(F.sum("n"), F.count("*")).first()
     tokens, kinds = (words or 0) + texts, kinds + (texts > 0)
-    top = counts.orderBy(F.desc("n"), "word").limit(frequent).collect()  # bounded by ``frequent``
-    ids = {r.word.encode(): i for i, r in enumerate(top, OTHER + 1)}
-    count = np.array([texts, 0, *(r.n for r in top)], np.float64)
+    listed = frequent_words(counts, max(known, frequent))
+    top = listed[:frequent]
+    ids = {r.word.encode(): i for i, r in enumerate(listed, OTHER + 1)}
+    count = np.array([texts, 0, *(r.n for r in listed)], np.float64)
+    first = count[: OTHER + 1 + len(top)]
     denominator = tokens + kinds + 1
     # what the rare words and the unseen one share
-    others = (tokens - count.sum()) + (kinds - len(top) - (texts > 0)) + 1
-    unigram = (count + 1) / denominator
+    others = (tokens - first.sum()) + (kinds - len(top) - (texts > 0)) + 1
+    unigram = (first + 1) / denominator
     unigram[OTHER] = others / denominator
     if not texts:
         unigram[END], unigram[OTHER] = 0.5, 0.5
-    model = Model(ids, unigram / unigram.sum())
+    model = Model({w: i for w, i in ids.items() if i < len(unigram)}, unigram / unigram.sum())
     baum_welch(model, train, iterations if texts else 0)
 
     base = np.log10((count + 1) / denominator)
-    base[OTHER] = 0
-    seen = (count > 0).astype(np.int64)
-    sent = docs.sparkSession.sparkContext.broadcast((model, base, seen))
+    # of listed words without emissions of their own, the share of their class
+    gain = np.log10((count + 1) / others)
+    gain[: len(first)] = base[OTHER] = 0
+    sent = docs.sparkSession.sparkContext.broadcast((model, ids, base, gain, int(texts > 0)))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_key().alias("k"), F.hash(text).alias("th"), text.alias("text"))
     scored = stash(rows.mapInArrow(_score(sent), SCORED), "scored")
