@@ -1 +1 @@
-
+"""Plans put together from operators, and the query catalogue."""
