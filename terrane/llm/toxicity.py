@@ -34,15 +34,15 @@ from terrane.llm.shared import table
 from terrane.llm.textkit import BYTE_CODES, BYTE_POWERS, LOWER, NOT_ALNUM, Words, chunks, mix, prefix, span
 
 #: Bytes of texts that are tagged together, about.
-TEXT_BYTES = 12 << 20
+TEXT_BYTES = 4 << 20
 #: Labelled documents of each class that the model is fitted on, at most.
-TRAIN_ROWS = 2500
+TRAIN_ROWS = 1500
 PREFIXES = (3, 4, 5, 6)
 THRESHOLD = 0.3
 #: Toxic documents not yet explained that a feature must explain to mark tokens.
 LEAST_COVER = 3
 #: Tokens of a training window, rounds and step of the fit, L1 penalty.
-SPAN_TOKENS, ROUNDS, STEP, PENALTY = 24, 60, 0.5, 2e-5
+SPAN_TOKENS, ROUNDS, STEP, PENALTY = 24, 40, 0.5, 2e-5
 HELD_OUT = 2
 
 
@@ -100,11 +100,9 @@ def chain(emission: np.ndarray, first: np.ndarray, pairs: np.ndarray, start: flo
 
 def _cover(docs: list[tuple[int, np.ndarray]]) -> set[int]:
     """Features that mark toxic tokens.  docs: (label, distinct features, the longest first)."""
-    clean = Counter()
-    for label, found in docs:
-        if not label:
-            clean.update(found.tolist())
-    toxic = [[f for f in found.tolist() if f and clean[f] == 0] for label, found in docs if label]
+    clean = [found for label, found in docs if not label]
+    clean = np.unique(np.concatenate([*clean, np.zeros(1, np.uint64)]))
+    toxic = [found[~np.isin(found, clean)].tolist() for label, found in docs if label]
     chosen, left = set(), set(range(len(toxic)))
     while left:
         count = Counter(f for d in left for f in toxic[d])
@@ -125,7 +123,7 @@ def fit(texts: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, float,
     """Feature hashes and weights, bias, pair weights and start weight from (label, text) rows."""
     texts = sorted(set(texts))
     parts, first = [], [np.zeros(1, np.int64)]
-    for _, _, data, bounds in chunks(pa.array([t for _, t in texts], pa.binary()).cast(pa.string())):
+    for _, _, data, bounds in chunks(pa.array([t for _, t in texts], pa.binary()).cast(pa.string()), 1 << 19):
         words, found = token_features(data, bounds)
         parts.append(found)
         first.append(words.first[1:] + first[-1][-1])
@@ -143,13 +141,15 @@ def fit(texts: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, float,
     # windows around toxic tokens, and as many without any, evenly over the clean texts
     near = np.unique(np.flatnonzero(tag) // SPAN_TOKENS)
     other = np.setdiff1d(np.arange(len(tag) // SPAN_TOKENS), np.unique(np.flatnonzero(label) // SPAN_TOKENS))
-    other = other[np.linspace(0, len(other) - 1, min(len(other), 2 * len(near) + 2000)).astype(np.int64)] if len(other) else other
+    other = other[np.linspace(0, len(other) - 1, min(len(other), len(near) + 2000)).astype(np.int64)] if len(other) else other
     near = near[near < len(tag) // SPAN_TOKENS]
     at = (np.concatenate((near, other))[:, None] * SPAN_TOKENS + np.arange(SPAN_TOKENS)).astype(np.int64)
     if not len(chosen) or not len(near):
         return np.zeros(0, np.uint64), np.zeros(0), -20.0, np.zeros((2, 2)), 0.0
-    names, ids = np.unique(features[at], return_inverse=True)
-    ids, gold = ids.reshape(*at.shape, -1), tag[at].astype(np.int64)
+    features = features[at]
+    names = np.unique(features)
+    ids, gold = np.searchsorted(names, features).astype(np.int32), tag[at].astype(np.int64)
+    del features
     weight, bias, pairs, start = np.zeros(len(names)), -2.0, np.zeros((2, 2)), 0.0
     weight[names == 0] = 0
     total = np.full(len(names), 1e-8)
@@ -157,7 +157,7 @@ def fit(texts: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, float,
     n = len(at)
     want_pairs = np.bincount((gold[:, :-1] * 2 + gold[:, 1:]).ravel(), minlength=4).reshape(2, 2)
     for _ in range(ROUNDS):
-        emission = bias + np.where(names[ids] == 0, 0, weight[ids]).sum(2)
+        emission = bias + weight[ids].sum(2)
         alpha = np.empty((n, SPAN_TOKENS, 2))
         alpha[:, 0] = np.stack((np.zeros(n), start + emission[:, 0]), 1)
         for t in range(1, SPAN_TOKENS):
@@ -220,7 +220,7 @@ def _tagged(model: dict, column: pa.Array) -> tuple[np.ndarray, dict[int, list[d
     if not rest or not len(hashes):
         return scores, spans
     emissions, places, firsts, n = [], [], [np.zeros(1, np.int64)], 0
-    for i, j, data, bounds in chunks(column):
+    for i, j, data, bounds in chunks(column, 1 << 19):
         words, features = token_features(data, bounds)
         value = np.zeros(len(words))
         for c in range(features.shape[1]):
