@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.schema import canonical
+from terrane.session import shared_folder
 
 KEY = ["row", "col"]
 
@@ -118,6 +119,7 @@ def patches(cells: DataFrame, rounds: int = 64) -> DataFrame:
 
     Labels spread to neighbours and then jump to their label's label; each round ends in a checkpoint.
     """
+    shared_folder(cells.sparkSession)  # where checkpoints go
     valid = cells.filter("value is not null").select(F.col("row").cast("long"), F.col("col").cast("long"))
     own = F.shiftleft(F.col("row"), 32) + F.col("col")
     now = valid.select("row", "col", own.alias("id"), own.alias("patch")).checkpoint()

@@ -9,6 +9,7 @@ from terrane.functions import scalars
 from terrane.operators import fill, geometry, model, pointcloud, raster, sampling, terrain, uncertainty, variogram, zonal
 from terrane.plans import fixtures as fx
 from terrane.plans.fixtures import D, FULL, G, IN, MODEL, P, edge_values, gamma_sql
+from terrane.session import shared_folder
 from terrane.sources import readers
 
 QUERIES: dict = {}
@@ -672,7 +673,7 @@ def stream_grid(spark, d):
     from terrane.streaming import gridding
 
     name = f"grid_{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/terrane-streams"
+    base = shared_folder(spark)
     return r6(gridding.run_available(gridding.grid_stream(_stream(spark, d)), name, "complete", f"{base}/{name}"))
 
 
@@ -684,7 +685,7 @@ def stream_bias(spark, d):
     from terrane.streaming import gridding
 
     name = f"bias_{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/terrane-streams"
+    base = shared_folder(spark)
     return r6(gridding.run_available(gridding.bias_windows(_stream(spark, d)), name, "append", f"{base}/{name}"))
 
 

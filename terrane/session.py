@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -17,3 +19,14 @@ def session(name: str = "terrane", **conf: str) -> SparkSession:
     for key, value in (settings | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder driver and executors share, by spark.checkpoint.dir; a temporary one only where that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="terrane-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
