@@ -1,7 +1,8 @@
 """Operator 5: surrogates for personal data.  DataFrame functions only.
 
 Detected: e-mail addresses, secrets (password=..., token = "..."), IPv4 addresses, card numbers,
-phone numbers, and persons after a form of address.  Each is made of atoms (an address has a local part and a
+phone and social security
+numbers, and persons after a form of address.  Each is made of atoms (an address has a local part and a
 domain, a person a given name and a surname), and an atom's surrogate is a function of a key, the atom's
 kind and its value, so equal values have equal surrogates in all documents.  Surrogates keep type and
 format: letters stay letters of their script and case, digits digits, separators as they are; phone numbers
@@ -38,7 +39,7 @@ EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{
 SECRET = r"(?<![\p{L}\p{N}])(?:password|passwd|secret|token|api_key)\s?[=:]\s?\"?[A-Za-z0-9_/+-]{8,}\"?"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"
 CARD = r"(?<![\d+])\d(?:[ -]?\d){12,18}(?![ -]?\d)"
-PHONE = r"(?<![\d\p{L}])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\d\p{L}])\+\d{8,15}(?!\d)"
+PHONE = r"(?<![\d\p{L}])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\d\p{L}])\+\d{8,15}(?!\d)|(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 NAME = r"\p{Lu}[\p{L}'’-]+"
 PERSON = rf"(?<!\p{{L}})(?:{FEMALE}|{MALE}|{OTHER})\.?[ ]{NAME}(?:[ ]{NAME})?"
 ANY = "|".join((EMAIL, SECRET, IP, CARD, PHONE, PERSON))
