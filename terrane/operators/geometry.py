@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrane.functions.scalars import utm_forward
+
 #: Edges up to which the polygon side of a join is broadcast; beyond, the join goes by tiles.
 BROADCAST_EDGES = 200_000
 TILE = 64.0
@@ -81,3 +83,12 @@ def within(points: DataFrame, polygon_edges: DataFrame, key: list[str], x: str =
     names = points.columns
     keyed = counted.groupBy(*dict.fromkeys([*key, "poly_id"])).agg(F.sum(crosses(F.col(x), F.col(y)).cast("int")).alias("n"), *[F.first(c).alias(c) for c in names if c not in key])
     return keyed.filter("n % 2 = 1").select(*names, "poly_id")
+
+
+def to_utm(polygons: DataFrame, zone: int) -> DataFrame:
+    """Rings in longitude and latitude to UTM, vertex by vertex."""
+    def moved(p):
+        east, north = utm_forward(p["x"], p["y"], F.lit(zone))
+        return F.struct(east.alias("x"), north.alias("y"))
+
+    return polygons.withColumn("rings", F.transform("rings", lambda r: F.transform(r, moved)))

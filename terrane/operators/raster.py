@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrane.functions.scalars import utm_forward, utm_inverse
 from terrane.schema import canonical
 from terrane.session import shared_folder
 
@@ -135,3 +136,40 @@ def patches(cells: DataFrame, rounds: int = 64) -> DataFrame:
         if not changed:
             break
     return now.select("row", "col", "patch")
+
+
+def reproject(source: DataFrame, source_transform: tuple, target: DataFrame, target_transform: tuple, zone: int, south: bool = False) -> DataFrame:
+    """Nearest value of a raster in longitude and latitude at the centres of ``target``'s UTM cells."""
+    (a, c, e, f), (ta, tc, te, tf) = source_transform, target_transform
+    east, north = F.lit(tc) + (F.col("col") + 0.5) * ta, F.lit(tf) + (F.col("row") + 0.5) * te
+    lon, lat = utm_inverse(east, north, F.lit(zone), south)
+    keyed = target.select(*KEY, F.floor((lat - f) / e).cast("long").alias("srow"), F.floor((lon - c) / a).cast("long").alias("scol"))
+    values = source.select(F.col("row").cast("long").alias("srow"), F.col("col").cast("long").alias("scol"), "value")
+    return keyed.join(values, ["srow", "scol"], "left").select(*KEY, "value")
+
+
+def process_pair(first: DataFrame, second: DataFrame, first_transform: tuple, second_transform: tuple, resolution: float) -> tuple[DataFrame, DataFrame, tuple, int] | None:
+    """Two rasters in longitude and latitude on one UTM grid over their common extent, cells valid in both; with the
+    grid's transform and EPSG code.  None if they do not overlap.
+
+    Only the rasters' bounds come to the driver.
+    """
+    spark = first.sparkSession
+    boxes = [metadata(x.filter("value is not null"), *t).first() for x, t in ((first, first_transform), (second, second_transform))]
+    if any(b.left is None for b in boxes):
+        return None
+    left, right = max(b.left for b in boxes), min(b.right for b in boxes)
+    bottom, top = max(b.bottom for b in boxes), min(b.top for b in boxes)
+    if left >= right or bottom >= top:
+        return None
+    lon, lat = (left + right) / 2, (bottom + top) / 2
+    zone, south = int((lon + 180) // 6) + 1, lat < 0
+    corners = spark.createDataFrame([(x, y) for x in (left, right) for y in (bottom, top)], "x double, y double")
+    east, north = utm_forward(F.col("x"), F.col("y"), F.lit(zone))
+    e0, e1, n0, n1 = corners.agg(F.min(east), F.max(east), F.min(north), F.max(north)).first()
+    cols, rows = (max(1, int((b - a) // resolution)) for a, b in ((e0, e1), (n0, n1)))
+    grid = spark.range(rows * cols).select(F.floor(F.col("id") / cols).cast("long").alias("row"), (F.col("id") % cols).alias("col"))
+    transform = (resolution, e0, -resolution, n1)
+    a, b = (reproject(x, t, grid, transform, zone, south) for x, t in ((first, first_transform), (second, second_transform)))
+    both = overlap(pair(a, b, "inner"))
+    return both.select(*KEY, F.col("v1").alias("value")), both.select(*KEY, F.col("v2").alias("value")), transform, (32700 if south else 32600) + zone

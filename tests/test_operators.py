@@ -183,3 +183,26 @@ def test_samples(spark):
     e = fx.polygon_edges(spark).filter("poly_id = 1")
     pts = sampling.points_in_polygons(spark, e, (10.5, 10.5, 80.5, 90.5), 50, 0.45)
     assert pts.count() == 50 and geometry.within(pts, e, ["id"]).count() == 50
+
+
+def test_pairs_of_geographic_rasters_meet_on_a_utm_grid(spark):
+    size, t1, t2 = 0.001, (0.001, 9.0, -0.001, 46.02), (0.001, 9.005, -0.001, 46.015)
+    a = cells(spark, [[100 + i for _ in range(20)] for i in range(20)])
+    b = cells(spark, [[200 + i for _ in range(20)] for i in range(20)])
+    first, second, transform, epsg = raster.process_pair(a, b, t1, t2, 50.0)
+    x, y = values(first), values(second)
+    assert epsg == 32632 and x.keys() == y.keys() and len(x) > 300
+    # the second raster begins five rows south of the first
+    assert {round(y[k] - x[k]) for k in x} == {95}
+    north = transform[3]
+    want = scalars_row(spark, 9.01, 46.01)
+    assert abs(want[1] - (north - 50.0 * (max(r for r, _ in x) + min(r for r, _ in x) + 1) / 2)) < 600
+    assert raster.process_pair(a, b, t1, (size, 20.0, -size, 46.0), 50.0) is None
+    moved = geometry.to_utm(spark.createDataFrame([(1, [[{"x": 9.0, "y": 0.0}]])], "poly_id int, rings array<array<struct<x:double,y:double>>>"), 32).first()
+    assert (moved.rings[0][0].x, moved.rings[0][0].y) == pytest.approx((500000.0, 0.0))
+
+
+def scalars_row(spark, lon, lat):
+    from terrane.functions.scalars import utm_forward
+
+    return tuple(spark.range(1).select(*utm_forward(F.lit(lon), F.lit(lat), F.lit(32))).first())
