@@ -37,6 +37,8 @@ ANCHOR = 8
 #: Runs beyond which the index is compacted.
 FAN_IN = 2
 BATCHES = 3
+#: Segments that may be broadcast: those with more than 1 / HEAVY of a batch's rows.
+HEAVY = 2000
 _U = np.uint64
 FIRST, SECOND = Powers(0xD6E8FEB86659FD93), Powers(0xA3B195354A39B70D)
 _SALT = _U(0x5851F42D4C957F2D)
@@ -144,17 +146,25 @@ class SegmentIndex:
         """Adds a batch of (k, th, text), whose keys aren't smaller than those before, and returns its
         segments that a smaller key has: k, th, a, b."""
         rows = stash(batch.mapInArrow(_segment_rows, SEGMENT), "segments")
-        first = rows.groupBy("seg", "chk").agg(F.min(F.struct("k", "th", "a", "b", "fp")).alias("at"))
+        first = rows.groupBy("seg", "chk").agg(F.min(F.struct("k", "th", "a", "b", "fp")).alias("at"), F.count("*").alias("n"))
+        first = stash(first, "firsts")
+        # segments with more than their share of all rows, of which there are HEAVY at most
+        share = (first.agg(F.sum("n")).first()[0] or 0) // HEAVY
+        heavy = F.broadcast(first.filter(F.col("n") > max(share, 1)).select("seg", "chk"))
+        fresh = first
         for name, _ in self.runs:
-            first = first.join(self.spark.table(name).select("seg", "chk"), ["seg", "chk"], "left_anti")
-        self.runs.append(self._write(first.select("seg", "chk", "at.*")))
+            fresh = fresh.join(self.spark.table(name).select("seg", "chk"), ["seg", "chk"], "left_anti")
+        self.runs.append(self._write(fresh.select("seg", "chk", "at.*")))
         repeats = None
         for name, _ in self.runs:
             known = self.spark.table(name).select("seg", "chk", F.col("k").alias("first"))
-            found = rows.join(known, ["seg", "chk"]).filter("k > first").select("k", "th", "a", "b")
+            # a heavy segment's rows stay where they are; the others are merge-joined
+            found = rows.join(F.broadcast(known.join(heavy, ["seg", "chk"])), ["seg", "chk"]).unionByName(rows.join(heavy, ["seg", "chk"], "left_anti").join(known, ["seg", "chk"]))
+            found = found.filter("k > first").select("k", "th", "a", "b")
             repeats = found if repeats is None else repeats.unionByName(found)
         repeats = stash(repeats, "repeats")
         discard(rows)
+        discard(first)
         if len(self.runs) > FAN_IN:
             self.compact()
         return repeats

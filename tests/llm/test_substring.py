@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.cases import DOC, documents, frame, prose
@@ -43,7 +44,9 @@ def run(docs, batches):
     return sorted((tuple(r) for r in substring.dedup(docs, batches).select("doc_id", "n_words", "n_removed", F.sha2("text", 256)).collect()), key=str)
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("heavy", [substring.HEAVY, 3])
+def test_against_brute_force(spark, monkeypatch, heavy):
+    monkeypatch.setattr(substring, "HEAVY", heavy)
     for seed, batches in ((1, 1), (2, 4)):
         rows = shared_rows(seed)
         want = brute(rows)
