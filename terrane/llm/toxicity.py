@@ -22,7 +22,7 @@ each get a row; an empty table gives an empty table.  Further columns are ignore
 
 from __future__ import annotations
 
-from collections import Counter
+
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,20 +102,25 @@ def _cover(docs: list[tuple[int, np.ndarray]]) -> set[int]:
     """Features that mark toxic tokens.  docs: (label, distinct features, the longest first)."""
     clean = [found for label, found in docs if not label]
     clean = np.unique(np.concatenate([*clean, np.zeros(1, np.uint64)]))
-    toxic = [found[~np.isin(found, clean)].tolist() for label, found in docs if label]
+    toxic = [found[clean[np.minimum(np.searchsorted(clean, found), len(clean) - 1)] != found].tolist() for label, found in docs if label]
+    place: dict[int, int] = {}  # how early a feature stands in a document's list, at best
+    holders: dict[int, list[int]] = {}
+    for d, found in enumerate(toxic):
+        for i, f in enumerate(found):
+            place[f] = min(place.get(f, i), i)
+            holders.setdefault(f, []).append(d)
+    count = {f: len(ds) for f, ds in holders.items() if len(ds) >= LEAST_COVER}
     chosen, left = set(), set(range(len(toxic)))
-    while left:
-        count = Counter(f for d in left for f in toxic[d])
-        if not count or (most := max(count.values())) < LEAST_COVER:
+    while count:
+        best = max(count, key=lambda f: (count[f], -place[f], -f))
+        if count[best] < LEAST_COVER:
             break
-        rank = {}
-        for d in left:
-            for i, f in enumerate(toxic[d]):
-                if count[f] == most:
-                    rank[f] = min(rank.get(f, i), i)
-        best = min(rank, key=lambda f: (rank[f], f))
         chosen.add(best)
-        left = {d for d in left if best not in toxic[d]}
+        for d in left.intersection(holders[best]):
+            left.remove(d)
+            for f in toxic[d]:
+                if f in count:
+                    count[f] -= 1
     return chosen
 
 
