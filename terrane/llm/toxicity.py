@@ -102,14 +102,18 @@ def _cover(docs: list[tuple[int, np.ndarray]]) -> set[int]:
     """Features that mark toxic tokens.  docs: (label, distinct features, the longest first)."""
     clean = [found for label, found in docs if not label]
     clean = np.unique(np.concatenate([*clean, np.zeros(1, np.uint64)]))
-    toxic = [found[clean[np.minimum(np.searchsorted(clean, found), len(clean) - 1)] != found].tolist() for label, found in docs if label]
+    held = lambda sorted_, x: sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x
+    toxic = [found[~held(clean, found)] for label, found in docs if label]
+    names, n = np.unique(np.concatenate([*toxic, np.zeros(1, np.uint64)]), return_counts=True)
+    names = np.concatenate(([np.uint64(0)], names[n >= LEAST_COVER]))
+    toxic = [found[held(names, found)].tolist() for found in toxic]
     place: dict[int, int] = {}  # how early a feature stands in a document's list, at best
     holders: dict[int, list[int]] = {}
     for d, found in enumerate(toxic):
         for i, f in enumerate(found):
             place[f] = min(place.get(f, i), i)
             holders.setdefault(f, []).append(d)
-    count = {f: len(ds) for f, ds in holders.items() if len(ds) >= LEAST_COVER}
+    count = {f: len(ds) for f, ds in holders.items()}
     chosen, left = set(), set(range(len(toxic)))
     while count:
         best = max(count, key=lambda f: (count[f], -place[f], -f))
@@ -133,6 +137,7 @@ def fit(texts: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, float,
         parts.append(found)
         first.append(words.first[1:] + first[-1][-1])
     features, first = np.concatenate(parts), np.concatenate(first)
+    del parts
     # the whole token, then the longer prefixes, come first in a document's list
     by_length = [0, *range(len(PREFIXES), 0, -1)]
     docs = []
@@ -141,6 +146,7 @@ def fit(texts: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, float,
         _, at = np.unique(own.T.ravel(), return_index=True)
         docs.append((label, own.T.ravel()[np.sort(at)]))
     chosen = np.array(sorted(_cover(docs)), np.uint64)
+    del docs
     label = np.repeat(np.array([x for x, _ in texts], bool), np.diff(first))
     tag = np.isin(features, chosen).any(1) & label
     # windows around toxic tokens, and as many without any, evenly over the clean texts
