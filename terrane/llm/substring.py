@@ -208,23 +208,28 @@ def covered(ranges: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+#: Bytes of kept words after which rows are passed on.
+KEPT_BYTES = 8 << 20
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n_words, n_removed, kept = [], [], []
-        ranges = batch.column("ranges")
-        for r, text in enumerate(batch.column("text")):
-            words = text.as_buffer().to_pybytes().split() if text.is_valid else []
-            n_words.append(len(words))
-            gone = 0
+        ids, texts, ranges = batch.column("doc_id"), batch.column("text"), batch.column("ranges")
+        first, size, rows = 0, 0, []
+        for r in range(batch.num_rows):
+            words = texts[r].as_buffer().to_pybytes().split() if texts[r].is_valid else []
+            n, gone = len(words), 0
             if ranges[r].is_valid:
                 v = ranges[r].values
-                hit = covered(np.stack([v.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("a", "b")], 1), len(words))
+                hit = covered(np.stack([v.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("a", "b")], 1), n)
                 gone = int(hit.sum())
                 words = [words[i] for i in np.flatnonzero(~hit).tolist()]
-            n_removed.append(gone)
-            kept.append(b" ".join(words))
-        text = pa.array(kept, pa.binary()).cast(pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), text], ["doc_id", "n_words", "n_removed", "text"])
+            rows.append((n, gone, b" ".join(words)))
+            size += len(rows[-1][2])
+            if size >= KEPT_BYTES or r == batch.num_rows - 1:
+                n_words, n_removed, kept = zip(*rows)
+                yield pa.RecordBatch.from_arrays([ids.slice(first, len(rows)), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "text"])
+                first, size, rows = r + 1, 0, []
 
 
 def batches_of(docs: DataFrame, n: int) -> list[DataFrame]:
