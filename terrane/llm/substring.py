@@ -10,7 +10,7 @@ immutable runs: tables bucketed and sorted by segment hash.  A batch of document
 order of doc_id) is merge-joined with each run; what is new becomes another run, and
 runs are compacted into one when they get too many.  Then segments that share an anchor
 but differ are verified window by window on the texts they came from, which finds the
-windows that lie on a shared passage's border.
+windows that lie on a shared passage's border, at all places of a segment in rows of its first doc_id.
 
 Windows are compared by 96 bits of two independent hashes.
 
@@ -98,11 +98,11 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 _SEGMENT = pa.schema([("k", pa.int64()), ("th", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("fp", pa.int64()), ("seg", pa.int64()), ("chk", pa.int32())])
 SEGMENT = "k long, th int, a int, b int, fp long, seg long, chk int"
-_WINDOW = pa.schema([("k", pa.int64()), ("th", pa.int32()), ("s", pa.int32()), ("w", pa.int64()), ("c", pa.int32())])
+_WINDOW = pa.schema([("k", pa.int64()), ("th", pa.int32()), ("a", pa.int32()), ("s", pa.int32()), ("w", pa.int64()), ("c", pa.int32())])
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows that start in the given ranges, by hash."""
+    """The windows that start in the given ranges, by hash, each with the range's a."""
     for batch in batches:
         k, th = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "th"))
         ranges = batch.column("ranges")
@@ -117,7 +117,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s = base + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             a = words.first[row - i] + s
             w, c = _stretch(_hash_words(words), a, a + WINDOW)
-            yield pa.RecordBatch.from_pydict({"k": k[row], "th": th[row], "s": s.astype(np.int32), "w": w, "c": c}, schema=_WINDOW)
+            yield pa.RecordBatch.from_pydict({"k": k[row], "th": th[row], "a": base.astype(np.int32), "s": s.astype(np.int32), "w": w, "c": c}, schema=_WINDOW)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ class SegmentIndex:
     """Immutable sorted runs of the segments seen so far: seg, chk and its first place (k, th, a, b, fp)."""
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.runs = spark, []
+        self.spark, self.runs, self.found = spark, [], []
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _write(self, rows: DataFrame) -> tuple[str, str]:
@@ -155,19 +155,22 @@ class SegmentIndex:
         for name, _ in self.runs:
             fresh = fresh.join(self.spark.table(name).select("seg", "chk"), ["seg", "chk"], "left_anti")
         self.runs.append(self._write(fresh.select("seg", "chk", "at.*")))
-        repeats = None
+        repeats, where = None, rows.select("seg", "chk", "k", "th", "a", "b")
         for name, _ in self.runs:
-            known = self.spark.table(name).select("seg", "chk", F.col("k").alias("first"))
+            known = self.spark.table(name).select("seg", "chk", F.col("k").alias("first"), F.col("th").alias("first_th"), F.col("a").alias("first_a"))
             # a heavy segment's rows stay where they are; the others are merge-joined
-            found = rows.join(F.broadcast(known.join(heavy, ["seg", "chk"])), ["seg", "chk"]).unionByName(rows.join(heavy, ["seg", "chk"], "left_anti").join(known, ["seg", "chk"]))
-            found = found.filter("k > first").select("k", "th", "a", "b")
+            found = where.join(F.broadcast(known.join(heavy, ["seg", "chk"])), ["seg", "chk"]).unionByName(where.join(heavy, ["seg", "chk"], "left_anti").join(known, ["seg", "chk"]))
+            # further places in rows of the first key aren't repeats, but have the windows that are found at the first place, which they name
+            of = [F.when(F.col("k") == F.col("first"), F.col(c)).alias(c) for c in ("first_th", "first_a")]
+            found = found.filter("k > first or th <> first_th or a <> first_a").select("k", "th", "a", "b", *of)
             repeats = found if repeats is None else repeats.unionByName(found)
         repeats = stash(repeats, "repeats")
+        self.found.append(repeats)
         discard(rows)
         discard(first)
         if len(self.runs) > FAN_IN:
             self.compact()
-        return repeats
+        return repeats.filter("first_a is null").select("k", "th", "a", "b")
 
     def compact(self) -> None:
         """Merges the runs into one."""
@@ -182,22 +185,27 @@ class SegmentIndex:
         return out
 
     def verify(self, docs: DataFrame) -> DataFrame:
-        """Windows of first segments that a smaller key has in another segment with the same anchor:
+        """Windows of first keys' segments that a smaller key has in another segment with the same anchor:
         k, th, a, b.  docs: the (k, th, text) that were added."""
         known = self.segments().select("k", "th", "a", "b", "fp")
         shared = known.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
         ranges = known.join(shared, "fp").groupBy("k", "th").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
         windows = docs.join(ranges, ["k", "th"]).select("k", "th", "ranges", "text")
-        windows = stash(windows.mapInArrow(_window_rows, "k long, th int, s int, w long, c int"), "windows")
+        windows = stash(windows.mapInArrow(_window_rows, "k long, th int, a int, s int, w long, c int"), "windows")
         least = windows.groupBy("w", "c").agg(F.min("k").alias("first"), F.max("k").alias("last")).filter("last > first").select("w", "c", "first")
-        found = stash(windows.join(least, ["w", "c"]).filter("k > first").select("k", "th", F.col("s").alias("a"), F.col("s").alias("b")), "verified")
+        found = stash(windows.join(least, ["w", "c"]).filter("k > first").select("k", "th", "a", "s").distinct(), "verified")
         discard(windows)
-        return found
+        starts = found.select("k", "th", "s")
+        for places in self.found:
+            at = places.filter("first_a is not null").select("k", "first_th", "first_a", F.col("th").alias("th2"), F.col("a").alias("a2"))
+            met = at.join(found.select("k", F.col("th").alias("first_th"), F.col("a").alias("first_a"), "s"), ["k", "first_th", "first_a"])
+            starts = starts.unionByName(met.select("k", F.col("th2").alias("th"), (F.col("a2") + F.col("s") - F.col("first_a")).alias("s")))
+        return starts.select("k", "th", F.col("s").alias("a"), F.col("s").alias("b"))
 
     def drop(self) -> None:
         for run in self.runs:
             self._drop(run)
-        self.runs = []
+        self.runs, self.found = [], []
 
 
 def covered(ranges: np.ndarray, n: int) -> np.ndarray:

@@ -59,3 +59,23 @@ def test_empty_and_clashing_columns(spark):
     assert run(spark.createDataFrame([], DOC), 3) == []
     rows = documents()
     assert run(frame(spark, rows).withColumns({"k": F.lit("x"), "th": F.lit(1), "ranges": F.lit(2)}), 2) == brute(rows)
+
+
+def test_border_passages_repeated_inside_one_document(spark):
+    """A smaller doc_id's passage of about a window, held again in the same document or row of its doc_id."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(12):
+        passage = prose(rng, 50 + 3 * i)
+        around = prose(rng, 60) + " " + passage + " " + prose(rng, 60)
+        rows.append((i, prose(rng, 70) + " " + passage + " " + prose(rng, 70), "en", "s", 1))
+        rows.append((100 + i, around + " " + prose(rng, 20) + " " + around, "en", "s", 1))
+        k = None if i % 2 else 200 + i
+        other = prose(rng, 60) + " " + passage + " " + prose(rng, 60)
+        if i % 3 == 0:
+            rows[-1] = (k, around, "en", "s", 1)
+            rows += [(k, prose(rng, 9) + " " + around, "en", "s", 1), (k, other + " " + other, "en", "s", 1)]
+    want = brute(rows)
+    assert sum(r[2] > 0 for r in want) >= 12
+    for batches in (1, 3):
+        assert run(frame(spark, rows), batches) == want
