@@ -5,6 +5,8 @@ Cells are keyed by integer (row, col); a null value is no measurement.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,23 +120,33 @@ def shift_datum(cells: DataFrame, source: DataFrame, target: DataFrame, same: bo
 def patches(cells: DataFrame, rounds: int = 64) -> DataFrame:
     """row, col and patch of the valid cells: connected over four neighbours, named by the smallest cell.
 
-    Labels spread to neighbours and then jump to their label's label; each round ends in a checkpoint.
+    Labels spread to neighbours and then jump to their label's label; each round is written to the shared folder
+    and read back (a checkpoint keeps its plan's size estimate, whose digits grow fourfold with each round's joins).
+    Labels that have not settled after ``rounds`` are an error.
     """
-    shared_folder(cells.sparkSession)  # where checkpoints go
+    spark, folder = cells.sparkSession, f"{shared_folder(cells.sparkSession)}/patches-{uuid.uuid4().hex}"
+
+    def written(df: DataFrame, n: int) -> DataFrame:
+        df.write.parquet(f"{folder}/{n}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{n}")
+
     valid = cells.filter("value is not null").select(F.col("row").cast("long"), F.col("col").cast("long"))
     own = F.shiftleft(F.col("row"), 32) + F.col("col")
-    now = valid.select("row", "col", own.alias("id"), own.alias("patch")).checkpoint()
+    now = valid.select("row", "col", own.alias("id"), own.alias("patch"))
+    now = written(now, 0)
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (0, 1), (1, 0), (0, -1), (-1, 0))])
-    for _ in range(rounds):
+    for n in range(1, rounds + 1):
         moved = now.withColumn("o", F.explode(steps)).select((F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col"), F.col("patch").alias("near"))
         low = moved.groupBy("row", "col").agg(F.min("near").alias("near"))
         new = now.join(low, ["row", "col"]).select("row", "col", "id", F.col("patch").alias("old"), F.least("patch", "near").alias("patch"))
         up = new.select(F.col("id").alias("patch"), F.col("patch").alias("up"))
-        new = new.join(up, "patch").select("row", "col", "id", "old", F.col("up").alias("patch")).checkpoint()
+        new = written(new.join(up, "patch").select("row", "col", "id", "old", F.col("up").alias("patch")), n)
         changed = new.filter("patch <> old").limit(1).count()
         now = new.drop("old")
         if not changed:
             break
+    else:
+        raise RuntimeError(f"patches did not settle in {rounds} rounds")
     return now.select("row", "col", "patch")
 
 

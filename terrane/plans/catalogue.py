@@ -183,6 +183,12 @@ def patches(spark, d):
     return raster.patches(fx.diff(spark, d).filter("row < 12 and col < 12 and (row * 5 + col * 3) % 4 <> 0"))
 
 
+@query("patches_whole")
+def patches_whole(spark, d):
+    """Cells that rose, over the whole grid: the recursive statement is too slow for it, so a test by brute force takes its place."""
+    return raster.patches(fx.diff(spark, d).filter("value > 0"))
+
+
 # --- terrain and gaps --------------------------------------------------------
 
 _N = FULL + """, n AS (SELECT m."row", m.col, """ + ", ".join(f"max(CASE WHEN k.\"row\" - m.\"row\" = {i} AND k.col - m.col = {j} THEN k.value END) AS {n}" for (i, j), n in terrain.PLACES.items()) + """
