@@ -650,6 +650,34 @@ def unc_total(spark, d):
     return r6(out.select("uncorrelated", "correlated", uncertainty.total(F.col("uncorrelated"), F.col("correlated")).alias("total")))
 
 
+# all cells of the polygon, where _area takes one of nine; the statements differ in that only
+_ALL = IN + ", a AS (SELECT \"row\", col, value, row_number() OVER (ORDER BY \"row\", col) - 1 AS id FROM h WHERE poly_id = 2), c AS (SELECT count(*) AS n FROM a)"
+
+
+def _whole_area(spark, d):
+    """Valid cells in the kite."""
+    return zonal.clip(fx.diff(spark, d), fx.polygon_edges(spark).filter("poly_id = 2")).select("row", "col", "value")
+
+
+@query("unc_brute_whole", ORACLES["unc_brute"].replace(_A, _ALL).replace("3e0 * sqrt", "1e0 * sqrt").replace("81e0", "1e0").replace("9e0 * n", "1e0 * n"))
+def unc_brute_whole(spark, d):
+    cells = _whole_area(spark, d)
+    return r6(uncertainty.brute_force(cells, MODEL, 1.0, cells.count() * 1.0))
+
+
+@query("unc_offset_hist_whole", ORACLES["unc_offset_hist"].replace(_A, _ALL).replace("3e0 * sqrt", "1e0 * sqrt").replace("81e0", "1e0").replace("9e0 * n", "1e0 * n"))
+def unc_offset_hist_whole(spark, d):
+    cells = _whole_area(spark, d)
+    return r6(uncertainty.autocorrelation(cells, MODEL, 1.0, cells.count() * 1.0))
+
+
+@query("variogram_single_whole", ORACLES["variogram_single"].replace(' WHERE ("row" * 7919 + col * 104729 + 42) % 10 = 0', ""))
+def variogram_single_whole(spark, d):
+    cells = fx.diff(spark, d).select((F.col("row") * 100 + F.col("col")).alias("id"), F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"), "value")
+    out = variogram.variogram(cells, _W, _LAG)
+    return out.select("bin", "n", F.round("ssd", 4).alias("ssd"), F.round("gamma", 6).alias("gamma"))
+
+
 @query("unc_closed_form", "WITH n AS (SELECT p_partkey, p_size * 1000e0 / 4e0 AS n FROM part), t AS (SELECT p_partkey, 0.3e0 / sqrt(n) AS uncorrelated, sqrt(40e0 / n * (pi() * 64e0 / 20e0) + 10e0 / n * (pi() * 625e0 / 20e0)) AS correlated FROM n) SELECT p_partkey, round(uncorrelated, 6) AS uncorrelated, round(correlated, 6) AS correlated, round(sqrt(uncorrelated * uncorrelated + correlated * correlated), 6) AS total FROM t")
 def unc_closed_form(spark, d):
     p = fx.table(spark, d, "part")

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from terrane.operators import raster
+from terrane.operators import raster, zonal
 from terrane.plans import fixtures as fx
 from terrane.plans.catalogue import QUERIES
 
@@ -39,3 +39,17 @@ def test_a_winding_patch_and_too_few_rounds(spark):
     assert sorted(tuple(r) for r in raster.patches(grid).collect()) == flood(cells)
     with pytest.raises(RuntimeError):
         raster.patches(grid, 2)
+
+
+def test_uncertainty_and_variogram_take_all_cells(spark):
+    cells = [(r["row"], r["col"], r["value"]) for r in zonal.clip(fx.diff(spark, DATA), fx.polygon_edges(spark).filter("poly_id = 2")).collect()]
+    sills, ranges, nugget = fx.MODEL
+
+    def covariance(h):
+        return sum(sills) + nugget - nugget - sum(c * (1.5 * h / a - 0.5 * (h / a) ** 3) if h <= a else c for c, a in zip(sills, ranges))
+
+    total = sum(covariance(((i - k) ** 2 + (j - m) ** 2) ** 0.5) for i, j, _ in cells for k, m, _ in cells)
+    assert QUERIES["unc_offset_hist_whole"](spark, DATA).first()["sigma"] == pytest.approx(total**0.5 / len(cells), abs=1e-5)
+    grid = [(r["row"], r["col"]) for r in fx.diff(spark, DATA).collect()]
+    near = sum(((i - k) ** 2 + (j - m) ** 2) < 16 for n, (i, j) in enumerate(grid) for k, m in grid[:n] if abs(i - k) < 4)
+    assert {r["bin"]: r["n"] for r in QUERIES["variogram_single_whole"](spark, DATA).collect()}[0] == near
