@@ -69,15 +69,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of undirected ``edges(a long, b long)`` as ``(node, root)``,
-    root the smallest node reachable.
+    """Connected components of undirected ``edges(a, b)`` as ``(node, root)``, root the smallest node
+    reachable.  Nodes are of any type that has an order; if what a group needs to know is the first field of
+    a struct, its root has it, and no join on the root, a hot key, has to follow.
 
     Alternates large-star and small-star contraction (Kiveris et al. 2014) with
     minimum aggregates, so that no node's neighbours are ever gathered in one row; each
     round is written to the shared folder.  Nodes without edges do not appear; an empty
     table gives an empty table; loops and repeated edges change nothing.
     """
-    pair = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b")
+    pair = edges.select("a", "b").filter("a <> b")
     now = stash(pair.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = _fingerprint(now)
     for _ in range(max_rounds):
