@@ -4,13 +4,14 @@ Fingerprints of equal value are one leaf.  Five blocks of the 64 bits shard the
 two fingerprints with four differing bits or fewer agree in one block at least, so each
 fingerprint is put under five roots, one a block value.  Below a root the trie is
 walked in node pairs from the top bit down; a pair carries its number of differing bits
-and is dropped once that exceeds the budget.  A root returns no pairs but each of its
+and is dropped once that exceeds the budget.  A root with more than MAX_ROOT leaves is cut into five
+again by its other bits, where the same holds.  A root returns no pairs but each of its
 leaves with the smallest leaf it is connected with, so a group of any size costs one row
 a leaf; the rest of the connecting is done on these rows.
 
 Nulls: a null text is an empty one.  Texts without words have fingerprint zero and link
 like any other.  A null doc_id counts as the largest and is returned as null; a component
-of null ids only has a null component_id.  Repeated rows each get a row.  An empty table
+of null ids only has a null component_id.  Repeated rows each get a row (``keep_one`` keeps one of them).  An empty table
 gives an empty table.  Further columns are ignored.
 """
 
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm.shared import NULL_ID, components, id_key, stash, table
@@ -58,13 +59,14 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             text = LOWER[data].tobytes()
             for r in range(len(bounds) - 1):
                 out[i + r] = fingerprint(text[bounds[r] : bounds[r + 1]].split())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(signed(out))], ["doc_id", "fp"])
+        rest = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(signed(out))], [*rest, "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint's 64 bits as a long."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, *marks: str) -> DataFrame:
+    """doc_id, the marks (longs) and fp, the fingerprint's 64 bits as a long."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *marks, F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_fingerprints, ", ".join(f"{c} long" for c in ("doc_id", *marks, "fp")))
 
 
 # --- the trie ---------------------------------------------------------------
@@ -173,10 +175,11 @@ class _Union:
                 up[:] = nxt
 
 
-def _linked(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Leaves and the smallest leaf each is connected with below its root; keys and leaves whole roots."""
-    block = (keys >> 13).astype(np.int64)
-    first, width = (np.array([b[i] for b in BLOCKS])[block] for i in (0, 1))
+def _linked(keys: np.ndarray, fps: np.ndarray, first: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Leaves and the smallest leaf each is connected with below its root; keys and leaves whole roots.
+
+    first and width: place of the bits in which a root's leaves agree.
+    """
     leaves = _turned(fps, first, width)
     order = np.lexsort((leaves, keys))
     keys, leaves, fps, width = keys[order], leaves[order], fps[order], width[order]
@@ -189,54 +192,90 @@ def _linked(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return fps[far], fps[to[far]]
 
 
-#: Leaves that are gathered before their roots are walked; a root is never cut.
+#: Leaves that are gathered before their roots are walked.
 LEAVES_AT_A_TIME = 1 << 17
+#: Leaves of a root beyond which it is cut by further bits.
+MAX_ROOT = 1 << 17
+COLUMNS = ("root", "fp", "first", "width")
 
 
 def _walk_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by root; whole roots are walked together."""
-    keys, fps, held = [], [], 0
+    parts, held = [], 0
 
     def flush(upto: int | None):
-        nonlocal keys, fps, held
-        k, f = np.concatenate(keys), np.concatenate(fps)
-        cut = len(k) if upto is None else int(np.searchsorted(k, upto))
-        keys, fps, held = [k[cut:]], [f[cut:]], len(k) - cut
+        nonlocal parts, held
+        rows = [np.concatenate(c) for c in zip(*parts)]
+        cut = len(rows[0]) if upto is None else int(np.searchsorted(rows[0], upto))
+        parts, held = [tuple(c[cut:] for c in rows)], len(rows[0]) - cut
         if cut:
-            a, b = _linked(k[:cut], f[:cut].view(np.uint64))
+            keys, fps, first, width = (c[:cut] for c in rows)
+            a, b = _linked(keys, fps.view(np.uint64), first, width)
             return pa.RecordBatch.from_arrays([pa.array(signed(np.ascontiguousarray(a))), pa.array(signed(np.ascontiguousarray(b)))], ["a", "b"])
         return None
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys.append(batch.column("root").to_numpy(zero_copy_only=False).astype(np.int64))
-        fps.append(batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64))
+        parts.append(tuple(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in COLUMNS))
         held += batch.num_rows
-        if held >= LEAVES_AT_A_TIME and (out := flush(int(keys[-1][-1]))) is not None:
+        if held >= LEAVES_AT_A_TIME and (out := flush(int(parts[-1][0][-1]))) is not None:
             yield out
-    if keys and (out := flush(None)) is not None:
+    if parts and (out := flush(None)) is not None:
         yield out
 
 
+def _bits_at(first: Column, width: Column) -> Column:
+    """So many bits of fp from the first on, counted from the top and around."""
+    turned = F.call_function("shiftleft", F.col("fp"), first).bitwiseOR(F.when(first > 0, F.call_function("shiftrightunsigned", F.col("fp"), F.lit(64) - first)).otherwise(F.lit(0).cast("long")))
+    return F.call_function("shiftrightunsigned", turned, F.lit(64) - width)
+
+
+def _under_roots(leaves: DataFrame, specs: Column, parent: Column) -> DataFrame:
+    """Each leaf once for each of its roots: fp, root, first, width.  specs: array of struct(i, first, width)."""
+    rows = leaves.select("fp", parent.alias("parent"), F.explode(specs).alias("b"))
+    return rows.select("fp", ((F.col("parent") * 5 + F.col("b.i")) * F.lit(8192) + _bits_at(F.col("b.first"), F.col("b.width"))).alias("root"), F.col("b.first").alias("first"), F.col("b.width").alias("width"))
+
+
+def _further(first: Column, width: Column) -> Column:
+    """The five blocks of the bits behind a root's, by place around the fingerprint."""
+    part = F.floor((F.lit(64) - width) / 5).cast("int")
+    one = lambda i: F.struct(F.lit(i).alias("i"), ((first + width + part * i) % 64).cast("int").alias("first"), (part if i < 4 else F.lit(64) - width - part * 4).cast("int").alias("width"))
+    return F.array(*[one(i) for i in range(5)])
+
+
 def links(leaves: DataFrame) -> DataFrame:
     """Edges (a, b) between fingerprints that connect just what links of MAX_BITS or fewer
     differing bits connect.  leaves: distinct fp."""
-    roots = F.array(*[F.lit(i * 8192) + F.shiftrightunsigned(F.shiftleft(F.col("fp"), first), 64 - width).cast("int") for i, (first, width) in enumerate(BLOCKS)])
-    rows = leaves.select("fp", F.explode(roots).alias("root"))
-    return rows.repartition("root").sortWithinPartitions("root").mapInArrow(_walk_partition, "a long, b long").distinct()
+    blocks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(first).alias("first"), F.lit(width).alias("width")) for i, (first, width) in enumerate(BLOCKS)])
+    rows = _under_roots(leaves, blocks, F.lit(0).cast("long"))
+    large = F.broadcast(rows.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > MAX_ROOT).select("root"))  # of 40,960 at most
+    if large.limit(1).count():
+        held = rows.join(large, "root")
+        cut = _under_roots(held.select("fp", "root", _further(F.col("first"), F.col("width")).alias("specs")), F.col("specs"), F.col("root") + 1)
+        rows = rows.join(large, "root", "left_anti").unionByName(cut)
+    return rows.repartition("root").sortWithinPartitions("root").select(*COLUMNS).mapInArrow(_walk_partition, "a long, b long").distinct()
+
+
+def _grouped(prints: DataFrame) -> DataFrame:
+    """fp and kept, the smallest (k, th) whose fingerprint is reachable, of ``prints(k, th, fp)``.
+
+    A node of the graph is a fingerprint with its smallest row, so that a group's root has what the group is
+    named by.
+    """
+    leaves = stash(prints.groupBy("fp").agg(F.min(F.struct("k", "th")).alias("least")), "leaves")
+    node = leaves.select("fp", F.struct("least", "fp").alias("node"))
+    edges = links(leaves.select("fp"))
+    edges = edges.join(node.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(node.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
+    groups = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))).select("node.fp", F.col("root.least").alias("kept"))
+    return leaves.join(groups, "fp", "left").select("fp", F.coalesce("kept", "least").alias("kept"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp (long) and component_id: the smallest doc_id whose fingerprint is reachable."""
     prints = stash(fingerprints(docs), "prints")
-    leaves = prints.groupBy("fp").agg(F.min(id_key()).alias("least"))
-    edges = links(leaves.select("fp"))
-    groups = components(edges)
-    # fingerprints that link with no other keep their own smallest id
-    named = leaves.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("least").alias("component"))
-    named = named.join(smallest, "root").select("fp", F.when(F.col("component") != NULL_ID, F.col("component")).alias("component_id"))
+    named = _grouped(prints.select(id_key().alias("k"), F.lit(0).cast("long").alias("th"), "fp"))
+    named = named.select("fp", F.when(F.col("kept.k") != NULL_ID, F.col("kept.k")).alias("component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -246,14 +285,14 @@ def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each group, all columns.
+    """The first document of each group by doc_id (and text hash, where texts share an id), all columns.
 
-    Of rows that share this doc_id the one with the smallest text hash is kept.  Rows without a
-    doc_id can't be named in a group and are kept.
+    A row is told from others by its doc_id and text: rows that share a doc_id but hold different texts are
+    different documents, rows with the same of both are one.
     """
-    groups = near_duplicates(docs)
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    own = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    row = next(f"row{n}" for n in range(len(docs.columns) + 1) if f"row{n}" not in docs.columns)
-    named = docs.filter(F.col("doc_id").isNotNull()).withColumn(row, F.row_number().over(own)).filter(F.col(row) == 1).drop(row)
-    return named.join(gone, "doc_id", "left_anti").select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    prints = fingerprints(docs.select("text", id_key().alias("doc_id"), F.xxhash64("text").alias("th")), "th")
+    prints = stash(prints.withColumnRenamed("doc_id", "k"), "prints")
+    kept = _grouped(prints).select("kept.k", "kept.th").distinct()
+    k, th = [f"row{n}" for n in range(len(docs.columns) + 2) if f"row{n}" not in docs.columns][:2]
+    rows = docs.withColumns({k: id_key(), th: F.xxhash64("text")}).dropDuplicates([k, th])
+    return rows.join(kept.toDF(k, th), [k, th], "left_semi").select(*docs.columns)

@@ -46,8 +46,9 @@ def test_documents_against_brute_force(spark):
     assert sorted((str(r.doc_id), r.fp & (2**64 - 1), str(r.component_id)) for r in got) == want
 
 
-@pytest.mark.parametrize("near", [0, 300])
-def test_links_against_all_pairs(spark, near, monkeypatch):
+@pytest.mark.parametrize("near, most", [(0, 1 << 17), (300, 1 << 17), (300, 20)])
+def test_links_against_all_pairs(spark, near, most, monkeypatch):
+    monkeypatch.setattr(simhash, "MAX_ROOT", most)
     monkeypatch.setattr(simhash, "PAIRS_AT_A_TIME", 64)
     rng = random.Random(near)
     fps = {rng.getrandbits(64) for _ in range(400)}
@@ -77,9 +78,15 @@ def test_empty_and_clashing_columns(spark):
 
 
 def test_keep_one_keeps_each_group_once(spark):
-    docs = frame(spark).withColumn("row0", F.lit(5))
+    rows = documents()
+    rows += [(7, "another text of the same id, far from the other one", "en", "s", 1), (None, rows[0][1], "en", "s", 1)]
+    docs = frame(spark, rows).withColumn("row0", F.lit(5))
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    groups_ = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
-    ids = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted({g for d, g in groups_.items() if d is not None})
+    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).distinct().collect()
+    names = sorted(((1 << 63) - 1 if r.doc_id is None else r.doc_id, r.th, str(r.text)) for r in marked)
+    root = groups([plain(t if t != "None" else None) for _, _, t in names])
+    want = sorted(n for i, n in enumerate(names) if root[i] == i)
+    got = kept.select("doc_id", "text", F.xxhash64("text").alias("th")).collect()
+    assert sorted(((1 << 63) - 1 if r.doc_id is None else r.doc_id, r.th, str(r.text)) for r in got) == want
+    assert sum(k == 7 for k, _, _ in want) == 2
