@@ -7,7 +7,7 @@ from terrane.llm.decontam import OP3_SQL, op3_benchmark_decontamination
 from terrane.llm.hmm import op8_hmm_score
 from terrane.llm.lines import op4_line_dedup
 from terrane.llm.media import op6_media_sniffing
-from terrane.llm.mixing import op1_mix_sources
+from terrane.llm.mixing import OP1_SQL, op1_mix_sources
 from terrane.llm.pii import op5_pii_surrogates
 from terrane.llm.simhash import op10_simhash_near_dedup
 from terrane.llm.substring import OP2_SQL, op2_substring_dedup
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op3_benchmark_decontamination": OP3_SQL, "op9_quotation_linking": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op3_benchmark_decontamination": OP3_SQL, "op9_quotation_linking": OP9_SQL}
