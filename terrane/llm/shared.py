@@ -31,16 +31,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+def stash(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, so a lost
-    executor costs only the tasks it was running.
+    executor costs only the tasks it was running.  options: of the Parquet writer.
 
     The shuffle files of the finished job are garbage then; Spark deletes them when the
     driver has collected its own, which is asked for here.
     """
     path = new_path(df.sparkSession, name)
-    writer = df.write.partitionBy(*by) if by else df.write
-    writer.parquet(path)
+    df.write.options(**options).parquet(path)
     df.sparkSession._jvm.System.gc()
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stashed_at = path
