@@ -19,6 +19,8 @@ def by_hand():
         (1, 3, "user", "nothing quoted\nB said:\nno quote below"),
         (1, 4, None, f">>>>{a}\n> unknown words\nend"),
         (1, 5, "user", f"> {c}\n> {a}"),
+        (1, 6, "user", f"> The first\n> remark, in full. Another\n> line here\n> > {c}\nSo much"),
+        (1, 7, "user", "> The first remark in full and then some more words that nobody wrote\nhalf of it is made up"),
         (2, 0, "user", f"> {a}\nelsewhere"),
     ]
 
@@ -27,11 +29,13 @@ def test_links_by_hand(spark):
     got = {(r.conv_id, r.turn): r for r in chat.link(spark.createDataFrame(by_hand(), CONV)).collect()}
     say = lambda k: (got[k].n_quoted, got[k].n_linked, got[k].reply_to, got[k].root_turn, got[k].depth, got[k].clean_text)
     assert say((1, 0)) == (0, 0, None, 0, 0, "The first remark, in full.\nAnother line here")
-    assert say((1, 1)) == (2, 2, 0, 0, 1, "My answer")
+    assert say((1, 1)) == (1, 1, 0, 0, 1, "My answer")
     assert say((1, 2)) == (2, 2, 1, 0, 2, "Third one")
     assert say((1, 3)) == (0, 0, None, 3, 0, "nothing quoted\nB said:\nno quote below")
     assert say((1, 4)) == (2, 1, None, 4, 0, "end")
-    assert say((1, 5)) == (2, 2, 2, 0, 3, "")
+    assert say((1, 5)) == (1, 0, None, 5, 0, "")  # one passage of two messages' lines, in another order
+    assert say((1, 6)) == (2, 2, 0, 0, 1, "So much")
+    assert say((1, 7)) == (1, 0, None, 7, 0, "half of it is made up")
     assert say((2, 0)) == (1, 0, None, 0, 0, "elsewhere")
 
 
@@ -42,7 +46,7 @@ def many(seed=3):
     for conv in range(12):
         said = []
         for turn in range(9):
-            lines = [prose(rng, rng.randint(1, 6)) for _ in range(rng.randint(1, 3))]
+            lines = [prose(rng, rng.randint(1, 12)) for _ in range(rng.randint(1, 3))]
             quote = []
             for old in rng.sample(said, min(len(said), rng.randint(0, 2))):
                 quote += ["> " * rng.choice([1, 1, 2, 3]) + x for x in old]
@@ -72,6 +76,7 @@ def test_order_clashing_columns_and_empty_tables(spark):
     extra = base.withColumns({"chat0": F.lit("x"), "depth": F.lit(7), "c": F.lit(1), "hash": F.lit(2)})
     out = chat.link(extra).collect()
     assert len(out) == len(many())
+    assert any(r.depth != 7 for r in out) and {(r.chat0, r.c) for r in out} == {("x", 1)}
     key = [(r.conv_id if r.conv_id is not None else 1 << 62, r.root_turn if r.root_turn is not None else 1 << 62, r.turn if r.turn is not None else 1 << 62) for r in out]
     assert key == sorted(key)
     assert chat.link(spark.createDataFrame([], CONV)).count() == 0
