@@ -1,13 +1,17 @@
 """Operator 5: surrogates for personal data.  DataFrame functions only.
 
-Detected: e-mail addresses, secrets (password=..., token = "..."), IPv4 addresses, card numbers,
-phone and social security
-numbers, and persons after a form of address.  Each is made of atoms (an address has a local part and a
+Detected: e-mail addresses, secrets (password=..., token = "..."), IPv4 and IPv6 addresses, IBANs, card numbers,
+phone and social security numbers, and persons after a form of address; the names of these persons are
+detected wherever else they stand in the document, too (a person that never has a form of address is not).  Each is made
+of atoms (an address has a local part and a
 domain, a person a given name and a surname), and an atom's surrogate is a function of a key, the atom's
 kind and its value, so equal values have equal surrogates in all documents.  Surrogates keep type and
 format: letters stay letters of their script and case, digits digits, separators as they are; phone numbers
-keep their country code, card numbers their first digit and a valid check digit, IP addresses stay valid,
-given names keep their gender by ending.
+keep their country code, card numbers their first digit and a valid check digit, IBANs their country and valid check
+digits, IP addresses stay valid, given names keep their gender by ending.
+
+Most texts are searched by a pattern without the kinds that need a mark they lack ('@', a colon, a keyword); entities
+are looked for once, and the texts that have any are cut at them.
 
 Collision checks run over all distinct atoms: a surrogate that another atom has, or that is the real value
 of some atom, is drawn again in the next round (later rounds add characters), until all are distinct.  Atoms
@@ -40,9 +44,17 @@ SECRET = r"(?<![\p{L}\p{N}])(?:password|passwd|secret|token|api_key)\s?[=:]\s?\"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"
 CARD = r"(?<![\d+])\d(?:[ -]?\d){12,18}(?![ -]?\d)"
 PHONE = r"(?<![\d\p{L}])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\d\p{L}])\+\d{8,15}(?!\d)|(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
+PHONE = PHONE + r"|(?<![\d\p{L}.,:/-])\d{10}(?![\d\p{L}]|[.,:/-]\d)"
+IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
+IPV6 = r"(?<![\p{L}\p{N}:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])"
 NAME = r"\p{Lu}[\p{L}'’-]+"
 PERSON = rf"(?<!\p{{L}})(?:{FEMALE}|{MALE}|{OTHER})\.?[ ]{NAME}(?:[ ]{NAME})?"
-ANY = "|".join((EMAIL, SECRET, IP, CARD, PHONE, PERSON))
+#: What every text is searched for; the first character is looked at before anything else.
+PLAIN = rf"(?=[0-9+(])(?:{'|'.join((IP, CARD, PHONE))})|(?=[A-Z])(?:{IBAN})|(?=[DFHMPSгГΚ])(?:{PERSON})"
+#: The same with the kinds that have a mark of their own.
+MARKED = "|".join((EMAIL, SECRET, IPV6, PLAIN))
+#: Words that a secret follows.
+SECRET_WORDS = ("passw", "secret", "token", "api_key")
 #: Syllables and gender endings of made-up names by script, and the scripts' letters.
 SYLLABLES = {
     "latin": ("ba re lo mi ta no vi ke su da ri zo pe ga li mo", "na", "n"),
@@ -52,11 +64,39 @@ SYLLABLES = {
 CYRILLIC, GREEK = "абвгдежзиклмнопрстуфхцчшщэюя", "αβγδεζηθικλμνξοπρστυφχψω"
 
 
+def pattern(text: Column) -> Column:
+    """The pattern a text is searched by."""
+    marks = text.contains("@") | text.rlike(":[0-9A-Fa-f]{0,4}:")
+    for word in SECRET_WORDS:
+        marks = marks | text.contains(word)
+    return F.when(marks, F.lit(MARKED)).otherwise(F.lit(PLAIN))
+
+
 def kind_of(m: Column) -> Column:
-    """Type of a match, by the order in which ANY tries them."""
+    """Type of a match, by the order in which the patterns try them; a name alone is a 'name'."""
     whole = lambda p: m.rlike(f"^(?:{p})$")
-    return (F.when(whole(EMAIL), "email").when(whole(SECRET), "secret").when(whole(IP), "ip")
-            .when(whole(CARD), "card").when(whole(PHONE), "phone").otherwise("person"))
+    return (F.when(whole(EMAIL), "email").when(whole(SECRET), "secret").when(whole(IPV6), "ipv6").when(whole(IP), "ip")
+            .when(whole(CARD), "card").when(whole(PHONE), "phone").when(whole(IBAN), "iban").when(whole(PERSON), "person").otherwise("name"))
+
+
+def _searched(text: Column) -> Column:
+    """Matches of a text, in order."""
+    marked = pattern(text) == F.lit(MARKED)
+    return F.when(marked, F.regexp_extract_all(text, F.lit(MARKED), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(PLAIN), F.lit(0)))
+
+
+def names_of(found: Column) -> Column:
+    """The names of the persons among matches, as an array of struct(kind, value), each name once."""
+    persons = F.filter(found, lambda m: m.rlike(f"^(?:{PERSON})$") & ~m.rlike(r"[@\d]"))
+    held = F.flatten(F.transform(persons, atoms))
+    return F.filter(held, lambda x, i: ~F.exists(F.slice(held, 1, i), lambda y: y["value"] == x["value"]))
+
+
+def with_names(text: Column, names: Column) -> Column:
+    """The pattern for a text whose persons have these names: the longest name first."""
+    longest = F.transform(F.array_sort(F.transform(names, lambda x: F.struct((-F.length(x["value"])).alias("n"), x["value"].alias("value")))), lambda x: x["value"])
+    alone = F.concat(F.lit(r"|(?<![\p{L}\p{N}])(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    return F.when(F.size(names) > 0, F.concat(pattern(text), alone)).otherwise(pattern(text))
 
 
 def _bits(kind: Column, value: Column, round_: Column, key: str) -> Column:
@@ -104,6 +144,26 @@ def _card(value: Column, digest: Column, round_: Column) -> Column:
     return F.when(_luhn(digits, False) % 10 == 0, F.concat(F.left(made, F.length(made) - 1), check)).otherwise(made)
 
 
+def _iban(value: Column, digest: Column, round_: Column) -> Column:
+    """The country kept, the rest drawn, check digits made valid where they were."""
+    country, body = F.left(value, F.lit(2)), F.substr(value, F.lit(5))
+    drawn = like(body, digest, F.least(round_, F.lit(LONGER_FROM - 1)))
+
+    def rest(text: Column) -> Column:  # of the text's number, letters as 10 to 35, modulo 97
+        code = lambda c: F.when(c.rlike("^[0-9]$"), c.cast("int")).otherwise(F.ascii(c) - 55)
+        signs = F.filter(F.split(text, ""), lambda c: (c != "") & (c != " "))
+        return F.aggregate(signs, F.lit(0), lambda a, c: F.when(code(c) > 9, a * 100 + code(c)).otherwise(a * 10 + code(c)) % 97)
+
+    valid = rest(F.concat(body, F.left(value, F.lit(4)))) == 1
+    check = F.lpad((F.lit(98) - rest(F.concat(drawn, country, F.lit("00")))).cast("string"), 2, "0")
+    return F.concat(country, F.when(valid, check).otherwise(F.substr(value, F.lit(3), F.lit(2))), drawn)
+
+
+def _ipv6(value: Column, digest: Column) -> Column:
+    draw = lambda c, i: F.when(c == ":", c).otherwise(F.lower(F.hex(_byte(digest, i) % 15 + 1)))
+    return F.array_join(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), draw), "")
+
+
 def _ip(digest: Column) -> Column:
     return F.concat_ws(".", *[(_byte(digest, i) % 254 + 1).cast("string") for i in range(4)])
 
@@ -127,7 +187,7 @@ def surrogate(kind: Column, value: Column, round_: Column, key: str = KEY) -> Co
     phone = F.concat(prefix, like(F.substr(value, F.length(prefix) + 1), digest, round_))
     last = F.regexp_extract(value, r"\.[^.]+$", 0)
     domain = F.concat(like(F.left(value, F.length(value) - F.length(last)), digest, round_), last)
-    return (F.when(kind == "ip", _ip(digest)).when(kind == "card", _card(value, digest, round_)).when(kind == "phone", phone).when(kind == "domain", domain)
+    return (F.when(kind == "ip", _ip(digest)).when(kind == "ipv6", _ipv6(value, digest)).when(kind == "iban", _iban(value, digest, round_)).when(kind == "card", _card(value, digest, round_)).when(kind == "phone", phone).when(kind == "domain", domain)
             .when(kind == "secret", like(value, digest, round_, value.rlike("^[0-9a-f]+$"))).when(kind == "local", like(value, digest, round_))
             .otherwise(_named(kind, value, digest, round_)))
 
@@ -160,8 +220,9 @@ def atoms(m: Column) -> Column:
             .otherwise(F.array(atom(kind, m))))
 
 
-def replacement(m: Column, draws: Column | None, key: str) -> Column:
-    """What stands for a match.  draws: map from 'kind|value' to the round of atoms that were redrawn."""
+def replacement(m: Column, draws: Column | None, names: Column, key: str) -> Column:
+    """What stands for a match.  draws: map from 'kind|value' to the round of atoms that were redrawn; names: those of the
+    document's persons."""
     def made(k, v):
         k = F.lit(k) if isinstance(k, str) else k
         return surrogate(k, v, F.lit(0) if draws is None else F.coalesce(F.try_element_at(draws, F.concat_ws("|", k, v)), F.lit(0)), key)
@@ -171,7 +232,9 @@ def replacement(m: Column, draws: Column | None, key: str) -> Column:
     before, secret, after = _secret(m)
     email = F.concat(made("local", F.regexp_extract(m, "^([^@]*)@", 1)), F.lit("@"), made("domain", F.regexp_extract(m, "@(.*)$", 1)))
     person = F.concat(head, F.when(given == "", "").otherwise(F.concat(made(given_kind, given), F.lit(" "))), made(surname_kind, surname))
-    return F.when(kind == "email", email).when(kind == "secret", F.concat(before, made("secret", secret), after)).when(kind == "person", person).otherwise(made(kind, m))
+    name = made(F.try_element_at(F.filter(names, lambda x: x["value"] == m), F.lit(1))["kind"], m)
+    out = F.when(kind == "email", email).when(kind == "secret", F.concat(before, made("secret", secret), after))
+    return out.when(kind == "person", person).when(kind == "name", name).otherwise(made(kind, m))
 
 
 def assign(found: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataFrame:
@@ -197,28 +260,32 @@ def assign(found: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataFrame:
 
 def replace(docs: DataFrame, key: str = KEY, counted: str | None = None) -> DataFrame:
     """``docs`` with surrogates in their texts; ``counted`` names a column for the number of entities."""
-    matches = lambda text: F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    entities = docs.select(F.explode(F.array_distinct(matches(F.col("text")))).alias("m")).groupBy("m").agg(F.count("*").alias("n"))
-    assigned = assign(entities.select(F.explode(atoms(F.col("m"))).alias("a")).select("a.kind", "a.value"), key)
-    redrawn = assigned.filter("round > 0")
+    held = docs.select(id_key().alias("k"), F.xxhash64("text").alias("th"), _searched(F.col("text")).alias("found"))
+    held = stash(held.filter(F.size("found") > 0).select("k", "th", F.explode(F.array_distinct("found")).alias("m")), "entities")
+    parts = held.select("k", "th", F.explode(atoms(F.col("m"))).alias("a")).select("k", "th", "a.kind", "a.value")
+    redrawn = assign(parts.groupBy("kind", "value").agg(F.count("*").alias("n")), key).filter("round > 0")
 
-    free = [f"pii{n}" for n in range(len(docs.columns) + 4) if f"pii{n}" not in docs.columns][:4]
-    found, draws, k, th = free
+    free = [f"pii{n}" for n in range(len(docs.columns) + 7) if f"pii{n}" not in docs.columns][:7]
+    found, names, by, draws, k, th, all_ = free
     work, has_draws = docs, False
     if redrawn.limit(1).count():
         has_draws = True
-        held = docs.select(id_key().alias("k"), F.xxhash64("text").alias("th"), F.explode(F.array_distinct(matches(F.col("text")))).alias("m"))
-        held = held.select("k", "th", F.explode(atoms(F.col("m"))).alias("a")).select("k", "th", "a.kind", "a.value").join(redrawn.select("kind", "value", "round"), ["kind", "value"])
-        notes = held.select("k", "th", F.concat_ws("|", "kind", "value").alias("atom"), "round").distinct().groupBy("k", "th").agg(F.map_from_entries(F.collect_list(F.struct("atom", "round"))).alias("draws"))
+        notes = parts.join(redrawn.select("kind", "value", "round"), ["kind", "value"]).select("k", "th", F.concat_ws("|", "kind", "value").alias("atom"), "round").distinct()
+        notes = notes.groupBy("k", "th").agg(F.map_from_entries(F.collect_list(F.struct("atom", "round"))).alias("draws"))
         notes = stash(notes, "draws").toDF(k, th, draws)
         small = notes.count() <= BROADCAST_ROWS
         work = docs.withColumns({k: id_key(), th: F.xxhash64("text")}).join(F.broadcast(notes) if small else notes, [k, th], "left")
-    work = work.withColumn(found, matches(F.col("text")))
-    pieces = F.split("text", ANY, -1)
-    ends = F.concat(F.transform(F.col(found), lambda m: replacement(m, F.col(draws) if has_draws else None, key)), F.array(F.lit("")))
-    text = F.array_join(F.zip_with(pieces, ends, lambda p, m: F.concat(p, m)), "")
-    out = work.withColumn("text", F.when(F.size(found) > 0, text).otherwise(F.col("text")))
-    extra = [F.greatest(F.coalesce(F.size(found), F.lit(0)), F.lit(0)).cast("long").alias(counted)] if counted else []
+    discard(held)
+    text = F.col("text")
+    # by steps, so that a text is searched once: its matches, its persons' names, and where it has any what matches with these
+    work = work.withColumn(found, _searched(text)).withColumn(names, F.when(F.size(found) > 0, names_of(F.col(found))))
+    work = work.withColumn(by, F.when(F.size(found) > 0, with_names(text, F.col(names))))
+    work = work.withColumn(all_, F.when(F.size(names) > 0, F.regexp_extract_all(text, F.col(by), F.lit(0))).otherwise(F.col(found)))
+    pieces = F.split(text, F.col(by), -1)
+    ends = F.concat(F.transform(F.col(all_), lambda m: replacement(m, F.col(draws) if has_draws else None, F.col(names), key)), F.array(F.lit("")))
+    made = F.array_join(F.zip_with(pieces, ends, lambda p, m: F.concat(p, m)), "")
+    out = work.withColumn("text", F.when(F.size(found) > 0, made).otherwise(text))
+    extra = [F.greatest(F.coalesce(F.size(all_), F.lit(0)), F.lit(0)).cast("long").alias(counted)] if counted else []
     return out.select(*docs.columns, *extra)
 
 
