@@ -35,6 +35,8 @@ MAX_BITS = 4
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Node pairs that are walked at a time; the rest waits on a stack.
 PAIRS_AT_A_TIME = 1 << 18
+#: Fingerprints that may be broadcast: those with more than 1 / HEAVY of all rows.
+HEAVY = 2000
 _U = np.uint64
 
 
@@ -258,25 +260,29 @@ def links(leaves: DataFrame) -> DataFrame:
 
 
 def _grouped(prints: DataFrame) -> DataFrame:
-    """fp and kept, the smallest (k, th) whose fingerprint is reachable, of ``prints(k, th, fp)``.
+    """fp, kept, the smallest (k, th) whose fingerprint is reachable, and n (rows), of ``prints(k, th, fp)``.
 
     A node of the graph is a fingerprint with its smallest row, so that a group's root has what the group is
     named by.
     """
-    leaves = stash(prints.groupBy("fp").agg(F.min(F.struct("k", "th")).alias("least")), "leaves")
+    leaves = stash(prints.groupBy("fp").agg(F.min(F.struct("k", "th")).alias("least"), F.count("*").alias("n")), "leaves")
     node = leaves.select("fp", F.struct("least", "fp").alias("node"))
     edges = links(leaves.select("fp"))
     edges = edges.join(node.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(node.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
     groups = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))).select("node.fp", F.col("root.least").alias("kept"))
-    return leaves.join(groups, "fp", "left").select("fp", F.coalesce("kept", "least").alias("kept"))
+    return leaves.join(groups, "fp", "left").select("fp", F.coalesce("kept", "least").alias("kept"), "n")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp (long) and component_id: the smallest doc_id whose fingerprint is reachable."""
     prints = stash(fingerprints(docs), "prints")
     named = _grouped(prints.select(id_key().alias("k"), F.lit(0).cast("long").alias("th"), "fp"))
-    named = named.select("fp", F.when(F.col("kept.k") != NULL_ID, F.col("kept.k")).alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = stash(named.select("fp", F.when(F.col("kept.k") != NULL_ID, F.col("kept.k")).alias("component_id"), "n"), "named")
+    # rows of a fingerprint with more than its share, of which there are HEAVY at most, stay where they are
+    share = max(1, (named.agg(F.sum("n")).first()[0] or 0) // HEAVY)
+    heavy, light = F.broadcast(named.filter(F.col("n") > share)), named.filter(F.col("n") <= share)
+    rest = prints.join(heavy.select("fp"), "fp", "left_anti").join(light, "fp")
+    return prints.join(heavy, "fp").select("doc_id", "fp", "component_id").unionByName(rest.select("doc_id", "fp", "component_id"))
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
