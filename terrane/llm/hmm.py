@@ -1,15 +1,16 @@
 """Operator 8: scoring text by a hidden Markov language model.
 
 Tokens are lower-cased words and one end a text.  The FREQUENT most frequent tokens each
-have emissions of their own; all others form one class, in which a token has the share
-(c + 1) of the counts of its class, unseen ones that of a single token.  So the model a
+have emissions of their own; all others fall into CLASSES classes by their last letters, whose
+emissions are learned like those of a word.  In its class a token has the share (c + 1) of the class's
+counts, unseen ones that of a single token.  So the model a
 task holds is bounded, while counts of all words stay in a table and are joined.
 
 Baum-Welch runs over all training documents: each partition sums its expected counts, the
 sums are added up across partitions, and the next model is made from them.  For training,
-texts are taken in stretches of STRETCH tokens; a stretch inside a text has an initial
-distribution of its own.  Scoring runs the scaled forward recursion over each whole text
-and is exact.
+texts are written as token numbers once and taken in stretches of STRETCH tokens; a stretch inside a text has an
+initial distribution of its own and goes up to the first token of the next, so every transition counts.
+Scoring runs the scaled forward recursion over each whole text and is exact.
 
 Nulls: a null text is an empty one, which has an end only.  A null doc_id counts as the
 text '' for the held-out rule.  Without training documents every token is unseen and the
@@ -20,20 +21,23 @@ table gives an empty table.  Further columns are ignored.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.shared import id_key, stash, table
+from terrane.llm.shared import discard, id_key, stash, table
 from terrane.llm.textkit import string_buffers
 
 STATES = 6
 FREQUENT = 1 << 15
+CLASSES = 1 << 11
+#: Bytes at a word's end that name its class.
+ENDING = 3
 ITERATIONS = 4
 STRETCH = 128
 #: Most frequent words whose counts a task holds when it scores; the counts of others are joined.
@@ -46,7 +50,36 @@ HELD_OUT = 2
 #: Distinct words a task counts before it passes the counts on.
 WORDS_HELD = 200_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-END, OTHER = 0, 1
+#: Numbers of tokens: the end, then the classes, then words.
+END, CLASS, WORDS = 0, 1, 1 + CLASSES
+#: Rare words whose class a task keeps.
+KEPT_WORDS = 100_000
+
+
+def class_of(word: bytes) -> int:
+    return CLASS + zlib.crc32(word[-ENDING:]) % CLASSES
+
+
+class Numbers(dict):
+    """Numbers of listed words; of others the number of their class, some of which are kept."""
+
+    def __init__(self, listed: dict[bytes, int]) -> None:
+        super().__init__(listed)
+        self.room = KEPT_WORDS
+
+    def __missing__(self, word: bytes) -> int:
+        out = class_of(word)
+        if self.room:
+            self.room -= 1
+            self[word] = out
+        return out
+
+    def of(self, text: bytes) -> np.ndarray:
+        """Token numbers of a text, its end included."""
+        words = text.split()
+        out = np.full(len(words) + 1, END, np.int32)
+        out[:-1] = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        return out
 
 
 def held_out(column: str = "doc_id"):
@@ -83,15 +116,20 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def frequent_words(counts: DataFrame, most: int) -> list:
-    """The most frequent words, ``most`` at most, from frequent to rare: all above a count that leaves
-    no more than that, found in a histogram, so that no task sends more than belongs to the result."""
+    """The most frequent words, ``most`` at most, from frequent to rare, equal counts by word: all of the upper bins of
+    a histogram and the top of the bin that overflows, so that no task sends more than belongs to the result."""
     size = F.floor(F.log2("n") * 64).cast("int")
     left, least = most, 1 << 20
+    over = None
     for r in sorted(counts.groupBy(size.alias("size")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r["size"]):
         if r.words > left:
+            over = r["size"]
             break
         left, least = left - r.words, r["size"]
-    return sorted(counts.filter(size >= least).collect(), key=lambda r: (-r.n, r.word))
+    found = counts.filter(size >= least).collect()
+    if over is not None and left:
+        found += counts.filter(size == over).orderBy(F.desc("n"), "word").limit(left).collect()
+    return sorted(found, key=lambda r: (-r.n, r.word))
 
 
 class Model:
@@ -100,7 +138,7 @@ class Model:
     def __init__(self, words: dict[bytes, int], unigram: np.ndarray, states: int = STATES) -> None:
         self.words = words
         # states begin apart by the last letters of words, which differ between kinds of text
-        ending = np.zeros(len(unigram), np.int64)
+        ending = np.arange(len(unigram))
         for w, i in words.items():
             ending[i] = int.from_bytes(w[-2:], "big")
         codes = (ending[None, :] + 1) * (np.arange(states)[:, None] * 2 + 1) * 0x9E3779B1 % (1 << 32)
@@ -112,14 +150,6 @@ class Model:
         np.fill_diagonal(self.step, 0.95 if states > 1 else 1.0)
         self.start = self.inner = np.full(states, 1 / states)
 
-    def ids(self, text: bytes) -> np.ndarray:
-        """Token ids of a text, its end included."""
-        get = self.words.get
-        words = text.split()
-        out = np.full(len(words) + 1, END, np.int32)
-        out[:-1] = np.fromiter(map(get, words, repeat(OTHER)), np.int32, len(words))
-        return out
-
     def learned(self, sums: dict) -> None:
         self.emit = (sums["emit"] + PRIOR * self.unigram) / (sums["emit"].sum(1, keepdims=True) + PRIOR)
         n = len(self.start)
@@ -161,8 +191,9 @@ def _forward(emit: np.ndarray, step: np.ndarray, first: np.ndarray, columns: Col
     return total, messages, scales
 
 
-def expected_counts(model: Model, ids: np.ndarray, begin: np.ndarray, length: np.ndarray, inside: np.ndarray, into: dict) -> None:
-    """Adds the expected counts of some sequences.  inside: those that don't start their text."""
+def expected_counts(model: Model, ids: np.ndarray, begin: np.ndarray, length: np.ndarray, inside: np.ndarray, into: dict, ahead: np.ndarray | None = None) -> None:
+    """Adds the expected counts of some sequences.  inside: those that don't start their text; ahead: those whose last
+    token is the next one's first, which counts there."""
     order = np.argsort(-length, kind="stable")
     begin, length, inside = begin[order], length[order], inside[order]
     columns = Columns(begin, length)
@@ -186,6 +217,9 @@ def expected_counts(model: Model, ids: np.ndarray, begin: np.ndarray, length: np
             pairs += messages[before : before + n].T @ out
             back[:n] = out @ turned
     into["step"] += pairs * model.step
+    if ahead is not None:
+        last = np.flatnonzero(ahead[order])
+        gamma[columns.edge[length[last] - 1] + last] = 0
     columns_of = np.ascontiguousarray(gamma.T)
     for k in range(len(step)):
         into["emit"][k] += np.bincount(ids, columns_of[k], into["emit"].shape[1])
@@ -214,12 +248,16 @@ def _expect(sent):
             piece = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             begin = (np.cumsum(lengths) - lengths)[text] + piece * STRETCH
             length = np.minimum(lengths[text] - piece * STRETCH, STRETCH)
-            expected_counts(model, ids, begin, length, piece > 0, sums)
+            ahead = piece < pieces[text] - 1
+            expected_counts(model, ids, begin, length + ahead, piece > 0, sums, ahead)
 
         for batch in batches:
-            for text in _texts(batch):
-                held.append(model.ids(text))
-                size += len(held[-1])
+            column = batch.column("ids")
+            flat, sizes = column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes)
+            for a, b in zip((ends - sizes).tolist(), ends.tolist()):
+                held.append(flat[a:b])
+                size += b - a
                 if size >= TOKENS_AT_A_TIME:
                     settle()
                     held, size = [], 0
@@ -235,14 +273,28 @@ def _expect(sent):
     return run
 
 
+def _number(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = Numbers(sent.value)
+        for batch in batches:
+            ids = [numbers.of(text) for text in _texts(batch)]
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))], ["ids"])
+
+    return run
+
+
 def baum_welch(model: Model, docs: DataFrame, iterations: int = ITERATIONS) -> list[float]:
     """Trains the model on all of docs(text); returns the log-likelihood before each round."""
     states = len(model.step)
+    if not iterations:
+        return []
+    numbered = stash(docs.select("text").mapInArrow(_number(docs.sparkSession.sparkContext.broadcast(model.words)), "ids array<int>"), "numbered")
     columns = [f"s{k}" for k in range(states)]
     out = []
     for _ in range(iterations):
         sent = docs.sparkSession.sparkContext.broadcast(model)  # FREQUENT words and their emissions at most
-        parts = docs.select("text").mapInArrow(_expect(sent), "part string, i int, " + ", ".join(f"{c} double" for c in columns))
+        parts = numbered.mapInArrow(_expect(sent), "part string, i int, " + ", ".join(f"{c} double" for c in columns))
         got = parts.groupBy("part", "i").agg(*[F.sum(c).alias(c) for c in columns]).collect()  # a row a frequent word
         sums = _no_counts(model)
         for r in got:
@@ -258,6 +310,7 @@ def baum_welch(model: Model, docs: DataFrame, iterations: int = ITERATIONS) -> l
         model.learned(sums)
         out.append(sums["loglike"])
         sent.unpersist()
+    discard(numbered)
     return out
 
 
@@ -266,8 +319,8 @@ def _score(sent):
     those words, and how often they come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, at, base, gain, end_known = sent.value
-        emit, frequent = model.emit.T, len(model.unigram)
+        model, listed, base, gain, class_share, group, end_known = sent.value
+        numbers, emit, frequent = Numbers(listed), model.emit.T, len(model.unigram)
         for batch in batches:
             rows = batch.num_rows
             n, known = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
@@ -275,13 +328,13 @@ def _score(sent):
             rare: list[list[dict]] = []
             ids = []
             for r, text in enumerate(_texts(batch)):
-                words = text.split()
-                x = np.full(len(words) + 1, END, np.int32)
-                x[:-1] = np.fromiter(map(at.get, words, repeat(OTHER)), np.int32, len(words))
-                far = np.flatnonzero(x == OTHER)
+                x = numbers.of(text)
+                far = np.flatnonzero((x >= CLASS) & (x < WORDS))
+                words = text.split() if len(far) else []
                 rare.append([{"w": w, "n": c} for w, c in Counter([words[i] for i in far.tolist()]).items()])
-                n[r], known[r], base_sum[r], shares[r] = len(x), len(words) - len(far) + end_known, base[x].sum(), gain[x].sum()
-                x[x >= frequent] = OTHER
+                n[r], known[r], base_sum[r], shares[r] = len(x), len(x) - 1 - len(far) + end_known, base[x].sum(), gain[x].sum() - class_share[x[far]].sum()
+                # listed words without emissions of their own have those of their class
+                x = np.where(x >= frequent, group[x], x)
                 ids.append(x)
             lengths = np.array([len(x) for x in ids])
             order, low = np.argsort(-lengths, kind="stable"), 0
@@ -312,24 +365,32 @@ def score(docs: DataFrame, train: DataFrame, frequent: int = FREQUENT, iteration
     tokens, kinds = (words or 0) + texts, kinds + (texts > 0)
     listed = frequent_words(counts, max(known, frequent))
     top = listed[:frequent]
-    ids = {r.word.encode(): i for i, r in enumerate(listed, OTHER + 1)}
-    count = np.array([texts, 0, *(r.n for r in listed)], np.float64)
-    first = count[: OTHER + 1 + len(top)]
+    ids = {r.word.encode(): i for i, r in enumerate(listed, WORDS)}
+    count = np.array([texts, *[0] * CLASSES, *(r.n for r in listed)], np.float64)
     denominator = tokens + kinds + 1
-    # what the rare words and the unseen one share
-    others = (tokens - first.sum()) + (kinds - len(top) - (texts > 0)) + 1
-    unigram = (first + 1) / denominator
-    unigram[OTHER] = others / denominator
+    # what a class's words that have no emissions of their own share, with an unseen one
+    shared = np.ones(WORDS)
+    of_class = F.crc32(F.call_function("substring", F.encode("word", "UTF-8"), F.lit(-ENDING), F.lit(ENDING))) % CLASSES
+    for r in counts.groupBy(of_class.cast("int").alias("c")).agg(F.sum(F.col("n") + 1).alias("n")).collect():  # a row a class
+        shared[CLASS + r.c] += r.n
+    group = np.arange(len(count))
+    for r, i in zip(listed, range(WORDS, len(count))):
+        group[i] = class_of(r.word.encode())
+    np.subtract.at(shared, group[WORDS : WORDS + len(top)], count[WORDS : WORDS + len(top)] + 1)
+    unigram = (count[: WORDS + len(top)] + 1) / denominator
+    unigram[CLASS:WORDS] = shared[CLASS:] / denominator
     if not texts:
-        unigram[END], unigram[OTHER] = 0.5, 0.5
+        unigram[END], unigram[CLASS:WORDS] = 0.5, 0.5 / CLASSES
     model = Model({w: i for w, i in ids.items() if i < len(unigram)}, unigram / unigram.sum())
     baum_welch(model, train, iterations if texts else 0)
 
     base = np.log10((count + 1) / denominator)
+    class_share = np.log10(shared)
     # of listed words without emissions of their own, the share of their class
-    gain = np.log10((count + 1) / others)
-    gain[: len(first)] = base[OTHER] = 0
-    sent = docs.sparkSession.sparkContext.broadcast((model, ids, base, gain, int(texts > 0)))
+    gain = np.log10(count + 1)
+    gain[WORDS:] -= class_share[group[WORDS:]]
+    gain[: len(unigram)] = base[CLASS:WORDS] = 0
+    sent = docs.sparkSession.sparkContext.broadcast((model, ids, base, gain, class_share, group, int(texts > 0)))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_key().alias("k"), F.hash(text).alias("th"), text.alias("text"))
     scored = stash(rows.mapInArrow(_score(sent), SCORED), "scored")
@@ -344,7 +405,7 @@ def score(docs: DataFrame, train: DataFrame, frequent: int = FREQUENT, iteration
     return out.select(
         "doc_id", "n_tokens", (F.col("known") + F.round("met")).cast("long").alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"),
         (F.col("base") + F.col("gain") - F.col("times") * F.lit(math.log10(denominator))).alias("base_score"),
-        (F.col("hmm") + F.col("gain") - F.col("times") * F.lit(math.log10(others))).alias("score"),
+        (F.col("hmm") + F.col("gain")).alias("score"),
     )
 
 

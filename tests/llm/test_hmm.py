@@ -34,10 +34,15 @@ def small():
     return hmm.Model(words, np.array([0.2, 0.1, 0.3, 0.25, 0.15]), 3)
 
 
+def numbers(model, text):
+    """The small model's token numbers: its one class is 1."""
+    return np.array([*(model.words.get(w, 1) for w in text.split()), hmm.END], np.int32)
+
+
 def test_forward_against_all_paths():
     model = small()
     texts = [b"a b c x a", b"", b"c c c", b"b"]
-    ids = [model.ids(t) for t in texts]
+    ids = [numbers(model, t) for t in texts]
     order = sorted(range(4), key=lambda i: -len(ids[i]))
     flat, length = np.concatenate([ids[i] for i in order]), np.array([len(ids[i]) for i in order])
     columns = hmm.Columns(np.cumsum(length) - length, length)
@@ -49,7 +54,7 @@ def test_forward_against_all_paths():
 
 def test_expected_counts_against_all_paths():
     model = small()
-    ids, inside = [model.ids(b"a b c"), model.ids(b"c x")], np.array([False, True])
+    ids, inside = [numbers(model, b"a b c"), numbers(model, b"c x")], np.array([False, True])
     sums, want = hmm._no_counts(model), hmm._no_counts(model)
     length = np.array([4, 3])
     hmm.expected_counts(model, np.concatenate(ids), np.array([0, 4]), length, inside, sums)
@@ -73,7 +78,7 @@ def test_training_raises_the_likelihood_and_beats_the_base(spark):
     kinds = [[prose(rng, 1) + s for _ in range(40)] for s in ("xx", "yy", "zz")]
     rows = [(i, " ".join(rng.choice(kinds[i % 3]) for _ in range(rng.randint(20, 300))), "en", "s", 1) for i in range(150)]
     docs = frame(spark, rows)
-    model = hmm.Model({w.encode(): i for i, w in enumerate((w for k in kinds for w in k), 2)}, np.full(122, 1 / 122))
+    model = hmm.Model({w.encode(): i for i, w in enumerate((w for k in kinds for w in k), hmm.WORDS)}, np.full(hmm.WORDS + 120, 1 / (hmm.WORDS + 120)))
     likelihood = hmm.baum_welch(model, docs, 4)
     assert all(b > a for a, b in itertools.pairwise(likelihood))
     got = [r for r in hmm.score(docs, docs.filter(~hmm.held_out())).collect() if zlib.crc32(str(r.doc_id).encode()) % 7 == 2]
@@ -86,3 +91,46 @@ def test_empty_tables_and_clashing_columns(spark):
     assert hmm.score(docs, docs).count() == docs.count()
     assert hmm.score(empty, docs).count() == 0
     assert {r.n_known for r in hmm.score(docs, empty).collect()} == {0}
+
+
+def test_a_cut_text_counts_like_its_stretches_with_each_transition_once():
+    model = small()
+    ids = numbers(model, b"a b c a b c c a")
+    sums = hmm._no_counts(model)
+    hmm.expected_counts(model, ids, np.array([0, 3, 6]), np.array([4, 4, 3]), np.array([False, True, True]), sums, np.array([True, True, False]))
+    assert sums["emit"].sum() == pytest.approx(9, rel=1e-5) and sums["step"].sum() == pytest.approx(8, rel=1e-5)
+    assert sums["emit"].sum(0) == pytest.approx(np.bincount(ids, minlength=5), rel=1e-5)
+
+
+def test_frequent_words_fill_the_bin_that_overflows(spark):
+    counts = spark.createDataFrame([(f"w{i:03d}", 5) for i in range(300)] + [("top", 90)], "word string, n long")
+    got = [r.word for r in hmm.frequent_words(counts, 101)]
+    assert got == ["top", *(f"w{i:03d}" for i in range(100))]
+
+
+def test_scores_against_a_plain_forward_recursion(spark):
+    """The whole score, rare and unseen words included, from counts and the trained model alone."""
+    rows = [r for r in documents(n=60) if r[0] is not None]
+    docs = frame(spark, rows)
+    held = {}
+    plain = hmm.baum_welch
+    hmm.baum_welch = lambda model, *a: held.update(model=model) or plain(model, *a)
+    try:
+        got = {(r.doc_id, r.n_tokens): r.score for r in hmm.score(docs, docs.filter(~hmm.held_out()), frequent=20, iterations=2, known=60).collect()}
+    finally:
+        hmm.baum_welch = plain
+    model = held["model"]
+    train = Counter(t for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2 for t in tokens(r[1]))
+    total = Counter()
+    for w, n in train.items():
+        if w is not None and w not in model.words:
+            total[hmm.class_of(w)] += n + 1
+    for r in rows[:25]:
+        ll, now = 0.0, model.start
+        for i, w in enumerate(tokens(r[1])):
+            k = hmm.END if w is None else model.words.get(w, hmm.class_of(w))
+            share = 1.0 if w is None or w in model.words else (train[w] + 1) / (total[k] + 1)
+            now = (now if i == 0 else now @ model.step) * model.emit[:, k] * share
+            ll += math.log10(now.sum())
+            now = now / now.sum()
+        assert got[r[0], len(tokens(r[1]))] == pytest.approx(ll, rel=1e-6)
