@@ -9,7 +9,8 @@ from terrane.functions.scalars import utm_forward
 
 #: Edges up to which the polygon side of a join is broadcast; beyond, the join goes by tiles.
 BROADCAST_EDGES = 200_000
-TILE = 64.0
+#: Tiles along the longer side of all bounds, where polygons are too many to broadcast.
+TILES = 256
 
 
 def edges(polygons: DataFrame) -> DataFrame:
@@ -63,26 +64,38 @@ def at_least(polygons: DataFrame, area: float) -> DataFrame:
     return polygons.filter(F.col("area") >= area) if area > 0 else polygons
 
 
+def _odd(edge_list: Column, x: Column, y: Column) -> Column:
+    """Whether a ray from (x, y) to the right crosses an odd number of the listed edges."""
+    def hit(e):
+        at = (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]
+        return ((e["y1"] > y) != (e["y2"] > y)) & (x < at)
+
+    return F.size(F.filter(edge_list, hit)) % 2 == 1
+
+
 def within(points: DataFrame, polygon_edges: DataFrame, key: list[str], x: str = "x", y: str = "y") -> DataFrame:
     """``points`` with the poly_id of each polygon that holds them; a point in several polygons gets a row each.
 
-    Bounds pick candidates: broadcast while the edges are few, else through tiles that the bounds
-    cover; then the ray crossings of a candidate are counted.  ``key`` names a point.
+    Bounds pick candidates.  While edges are few a polygon is a row with its list of edges, which is broadcast, so that
+    points stay where they are; else candidates meet through tiles that the bounds cover, as wide as a 256th of all bounds, and
+    the ray crossings are counted by edge.  ``key`` names a point.
     """
-    box = bounds(polygon_edges)
+    sloped, box = polygon_edges.filter("y1 <> y2"), bounds(polygon_edges)
     small = polygon_edges.limit(BROADCAST_EDGES + 1).count() <= BROADCAST_EDGES
     hit = (F.col(x) >= F.col("minx")) & (F.col(x) <= F.col("maxx")) & (F.col(y) >= F.col("miny")) & (F.col(y) <= F.col("maxy"))
-    if small:
-        near = points.join(F.broadcast(box), hit)
-        counted = near.join(F.broadcast(polygon_edges.filter("y1 <> y2")), "poly_id")
-    else:
-        tile = lambda v: F.floor(v / TILE).cast("long")
-        tiles = box.withColumn("tx", F.explode(F.sequence(tile(F.col("minx")), tile(F.col("maxx"))))).withColumn("ty", F.explode(F.sequence(tile(F.col("miny")), tile(F.col("maxy")))))
-        near = points.withColumns({"tx": tile(F.col(x)), "ty": tile(F.col(y))}).join(tiles, ["tx", "ty"]).filter(hit).drop("tx", "ty")
-        counted = near.join(polygon_edges.filter("y1 <> y2"), "poly_id")
     names = points.columns
-    keyed = counted.groupBy(*dict.fromkeys([*key, "poly_id"])).agg(F.sum(crosses(F.col(x), F.col(y)).cast("int")).alias("n"), *[F.first(c).alias(c) for c in names if c not in key])
-    return keyed.filter("n % 2 = 1").select(*names, "poly_id")
+    if small:
+        lists = sloped.groupBy("poly_id").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
+        near = points.join(F.broadcast(box.join(lists, "poly_id")), hit)
+        return near.filter(_odd(F.col("edges"), F.col(x), F.col(y))).select(*names, "poly_id")
+    all_ = box.agg(F.min("minx"), F.min("miny"), F.greatest(F.max("maxx") - F.min("minx"), F.max("maxy") - F.min("miny"))).first()
+    x0, y0, side = all_[0], all_[1], max(all_[2] / TILES, 1e-9)
+    tile = lambda v, low: F.floor((v - low) / side).cast("long")
+    tiles = box.withColumn("tx", F.explode(F.sequence(tile(F.col("minx"), x0), tile(F.col("maxx"), x0)))).withColumn("ty", F.explode(F.sequence(tile(F.col("miny"), y0), tile(F.col("maxy"), y0))))
+    near = points.withColumns({"tx": tile(F.col(x), x0), "ty": tile(F.col(y), y0)}).join(tiles, ["tx", "ty"]).filter(hit).select(*dict.fromkeys([*key, x, y]), "poly_id")
+    crossed = near.join(sloped, "poly_id").filter(crosses(F.col(x), F.col(y)))
+    odd = crossed.groupBy(*key, "poly_id").agg(F.count("*").alias("n")).filter("n % 2 = 1").drop("n")
+    return points.join(odd, key).select(*names, "poly_id")
 
 
 def to_utm(polygons: DataFrame, zone: int) -> DataFrame:

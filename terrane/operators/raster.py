@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions.scalars import utm_forward, utm_inverse
+from terrane.operators.ranks import percentiles
 from terrane.schema import canonical
 from terrane.session import shared_folder
 
@@ -74,12 +75,12 @@ def subtract(cells: DataFrame, constant: float | Column) -> DataFrame:
 
 def remove_median(cells: DataFrame) -> DataFrame:
     """Values minus their median, a one-row aggregate that is broadcast."""
-    bias = cells.agg(F.percentile("value", F.lit(0.5)).alias("bias"))
+    bias = percentiles(cells, (0.5,)).select(F.col("p")[0].alias("bias"))
     return cells.join(F.broadcast(bias)).select(*KEY, (F.col("value") - F.col("bias")).alias("value"))
 
 
 def percentile_clip(cells: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    cut = cells.agg(F.percentile("value", F.array(F.lit(low), F.lit(high))).alias("p"))
+    cut = percentiles(cells, (low, high))
     return cells.join(F.broadcast(cut)).filter("value between p[0] and p[1]").drop("p")
 
 
@@ -176,7 +177,10 @@ def process_pair(first: DataFrame, second: DataFrame, first_transform: tuple, se
         return None
     lon, lat = (left + right) / 2, (bottom + top) / 2
     zone, south = int((lon + 180) // 6) + 1, lat < 0
-    corners = spark.createDataFrame([(x, y) for x in (left, right) for y in (bottom, top)], "x double, y double")
+    # edges bulge, so points along them bound the grid
+    along = [i / 16 for i in range(17)]
+    edge = [(left + (right - left) * t, y) for t in along for y in (bottom, top)] + [(x, bottom + (top - bottom) * t) for t in along for x in (left, right)]
+    corners = spark.createDataFrame(edge, "x double, y double")
     east, north = utm_forward(F.col("x"), F.col("y"), F.lit(zone))
     e0, e1, n0, n1 = corners.agg(F.min(east), F.max(east), F.min(north), F.max(north)).first()
     cols, rows = (max(1, int((b - a) // resolution)) for a, b in ((e0, e1), (n0, n1)))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.operators.geometry import within
+from terrane.operators.ranks import at_ranks
 
 
 def draw(seed: int, *keys) -> Column:
@@ -50,17 +52,30 @@ def run_samples(cells: DataFrame, share: float, runs: int, seed: int = 42) -> Da
     return spread.filter(draw(seed, "run", "row", "col") < share)
 
 
-def bootstrap_median(cells: DataFrame, replicates: int = 1000, share: float = 0.1, pick: Column | None = None, seed: int = 42) -> DataFrame:
-    """Standard deviation (population) of the medians of replicates drawn with replacement.
+def median_ranks(n: int, replicates: int, share: float, seed: int = 42) -> list[tuple[int, int]]:
+    """Of each replicate, a sample of share * n of n ranks drawn with replacement, the ranks of its two middle values.
 
-    Cells get dense numbers by a distributed count (range sort and partition offsets); draws are joined to
-    them by number.  ``pick`` maps rep, i and n to a number, for engines without this hash.
+    The middle of m uniform draws has a beta distribution, and the next one follows from it, so no sample has to be drawn.
     """
-    numbered, n = number(cells.filter("value is not null"), ["row", "col"])
-    size = max(1, round(share * n))
-    chosen = pick if pick is not None else F.floor(draw(seed, "rep", "i") * F.lit(n)).cast("long")
-    draws = cells.sparkSession.range(replicates).withColumnRenamed("id", "rep").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn("n", F.lit(n)).withColumn("id", chosen)
-    medians = draws.join(numbered.select("id", "value"), "id").groupBy("rep").agg(F.percentile("value", F.lit(0.5)).alias("median"))
+    size, rng = max(1, round(share * n)), np.random.default_rng(seed)
+    k = (size + 1) // 2
+    first = rng.beta(k, size - k + 1, replicates)
+    second = first if size % 2 else 1 - (1 - first) * rng.random(replicates) ** (1 / (size - k))
+    rank = lambda u: np.minimum((u * n).astype(int), n - 1).tolist()
+    return list(zip(rank(first), rank(second)))
+
+
+def bootstrap_median(cells: DataFrame, replicates: int = 1000, share: float = 0.1, ranks: list[tuple[int, int]] | None = None, seed: int = 42) -> DataFrame:
+    """Standard deviation (population) and mean of the medians of replicates drawn with replacement.
+
+    A median is the mean of the values at two ranks, by ``median_ranks`` or as given; the ranks lie close to the middle, so only
+    values around the median are put in order, whatever the number of cells.
+    """
+    n = cells.filter("value is not null").count()
+    pairs = ranks if ranks is not None else (median_ranks(n, replicates, share, seed) if n else [])
+    values = at_ranks(cells, [r for pair in pairs for r in pair])
+    asked = cells.sparkSession.createDataFrame([(rep, int(r)) for rep, pair in enumerate(pairs) for r in pair], "rep long, rank long")
+    medians = asked.join(F.broadcast(values), "rank").groupBy("rep").agg(F.avg("value").alias("median"))  # a row a replicate
     return medians.agg(F.stddev_pop("median").alias("error"), F.avg("median").alias("mean"))
 
 

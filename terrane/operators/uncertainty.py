@@ -1,14 +1,16 @@
 """Mean uncertainty of an area from a variogram model.
 
-A model is (sills, ranges, nugget); its variance is their sum.  Pairs of grid cells are never
-enumerated where their offsets suffice: covariance depends on the offset only.
+A model is (sills, ranges, nugget); its variance is their sum.  Covariance depends on the offset of two cells only, so
+pairs of cells are counted by offset, from runs of cells or by a Fourier transform, and never listed.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrane.functions.scalars import correlation, covariance, guarded_sqrt, spherical
@@ -40,18 +42,82 @@ def analytical(spark: SparkSession, area: float, model: Model, steps: int = 1000
     return spark.range(steps).agg(guarded_sqrt(F.lit(2 * math.pi / area * dr) * inner).alias("sigma"))
 
 
+#: Blocks of rows whose pairs are joined.
+ROW_BLOCKS = 32
+#: Values of a column block's matrix that a task holds.
+BLOCK_VALUES = 1 << 22
+
+
 def offsets(cells: DataFrame, reach: int | None = None) -> DataFrame:
     """di, dj and n: how many ordered pairs of ``cells(row, col)`` lie at each offset.
 
-    Rows are runs of cells first: a pair of rows gives the number of pairs by column offset from runs, so the
-    join is over rows, tens of times fewer than cells.
+    A row is a list of runs of neighbouring cells.  The pairs of two runs by offset form a trapezoid, whose four bends are all
+    that is counted; adding up twice over dj gives the pairs.  Rows meet by an equi-join on pairs of row blocks,
+    each row in ROW_BLOCKS of them.
+    """
+    place = cells.select("row", "col").distinct().withColumn("run", F.col("col") - F.row_number().over(Window.partitionBy("row").orderBy("col")))
+    runs = place.groupBy("row", "run").agg(F.min("col").alias("a"), (F.max("col") + 1).alias("e")).drop("run")
+    block = F.pmod(F.col("row"), F.lit(ROW_BLOCKS)) if reach is None else F.floor(F.col("row") / max(reach, 1))
+    steps = F.sequence(F.lit(0), F.lit(ROW_BLOCKS - 1)) if reach is None else F.array(block, block + 1)
+    left = runs.select(F.col("row").alias("r1"), F.col("a").alias("a1"), F.col("e").alias("e1"), block.alias("i"), F.explode(steps).alias("j"))
+    right = runs.select(F.col("row").alias("r2"), F.col("a").alias("a2"), F.col("e").alias("e2"), block.alias("j"))
+    if reach is None:
+        right = right.withColumn("i", F.explode(steps))
+        met = left.join(right, ["i", "j"])
+    else:
+        met = left.join(right, "j")
+    met = met.filter("r2 >= r1" if reach is None else f"r2 >= r1 and r2 - r1 <= {int(reach)}")
+    bends = F.array(*[F.struct(x.alias("dj"), F.lit(sign).alias("n")) for x, sign in ((F.col("a2") - F.col("e1") + 1, 1), (F.col("a2") - F.col("a1") + 1, -1), (F.col("e2") - F.col("e1") + 1, -1), (F.col("e2") - F.col("a1") + 1, 1))])
+    bent = met.select((F.col("r2") - F.col("r1")).alias("di"), F.explode(bends).alias("b")).groupBy("di", "b.dj").agg(F.sum("b.n").alias("n"))
+    ends = bent.groupBy("di").agg(F.min("dj").alias("low"), F.max("dj").alias("high"))
+    spine = ends.select("di", F.explode(F.sequence("low", "high")).alias("dj")).join(bent, ["di", "dj"], "left").fillna(0, ["n"])
+    along = Window.partitionBy("di").orderBy("dj").rowsBetween(Window.unboundedPreceding, 0)  # a row of offsets
+    half = spine.withColumn("n", F.sum("n").over(along)).withColumn("n", F.sum("n").over(along)).filter("n > 0")
+    return half.select("di", "dj", F.when(F.col("di") > 0, 2 * F.col("n")).otherwise(F.col("n")).cast("long").alias("n"))
+
+
+def convolved_offsets(cells: DataFrame) -> DataFrame:
+    """The same by a two-dimensional Fourier transform of the footprint: rows, then columns, the power, and back.
+
+    Three passes over blocks of the zero-padded grid; the numbers of rows and columns come to the driver, and a task holds
+    a row, or some columns of BLOCK_VALUES values in all.
     """
-    rows = cells.groupBy("row").agg(F.sort_array(F.collect_list("col")).alias("cols"))  # a row of a grid, bounded by its width
-    a, b = rows.select(F.col("row").alias("r1"), F.col("cols").alias("c1")), rows.select(F.col("row").alias("r2"), F.col("cols").alias("c2"))
-    near = (F.col("r1") <= F.col("r2")) if reach is None else (F.col("r1") <= F.col("r2")) & (F.col("r2") - F.col("r1") <= reach)
-    met = a.join(F.broadcast(b) if reach is None else b, near).select((F.col("r2") - F.col("r1")).alias("di"), F.explode("c1").alias("c"), "c2").select("di", F.explode(F.transform("c2", lambda x: x - F.col("c"))).alias("dj"))
-    half = met.groupBy("di", "dj").agg(F.count("*").alias("n"))
-    return half.select("di", "dj", F.when(F.col("di") > 0, 2 * F.col("n")).otherwise(F.col("n")).alias("n"))
+    size = cells.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first()
+    if size[0] is None:
+        return cells.sparkSession.createDataFrame([], "di long, dj long, n long")
+    r0, c0, height, width = int(size[0]), int(size[2]), int(size[1] - size[0]) + 1, int(size[3] - size[2]) + 1
+    tall, wide = (1 << (2 * n - 1).bit_length() for n in (height, width))
+    step = max(1, min(wide, BLOCK_VALUES // tall))
+
+    def pieces(rows, values):
+        """Rows of complex values, cut into blocks of columns."""
+        out = [(b // step, int(r), v[b : b + step]) for r, v in zip(rows, values) for b in range(0, values.shape[1], step)]
+        return pd.DataFrame({"block": [o[0] for o in out], "line": [o[1] for o in out], "re": [o[2].real.tolist() for o in out], "im": [o[2].imag.tolist() for o in out]})
+
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+        line = np.zeros((1, wide))
+        line[0, (pdf["col"] - c0).to_numpy()] = 1
+        return pieces([pdf["row"].iloc[0] - r0], np.fft.rfft(line, axis=1))
+
+    def down(pdf: pd.DataFrame) -> pd.DataFrame:
+        values = np.zeros((tall, len(pdf["re"].iloc[0])), complex)
+        values[pdf["line"].to_numpy()] = np.array(pdf["re"].tolist()) + 1j * np.array(pdf["im"].tolist())
+        power = np.abs(np.fft.fft(values, axis=0)) ** 2
+        back = np.fft.ifft(power, axis=0)[:height]
+        return pd.DataFrame({"block": pdf["block"].iloc[0], "line": range(height), "re": back.real.tolist(), "im": back.imag.tolist()})
+
+    def back(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        line = np.concatenate([np.array(a) + 1j * np.array(b) for a, b in zip(pdf["re"], pdf["im"])])
+        n = np.rint(np.fft.irfft(line, wide)).astype("int64")
+        dj = np.arange(wide)
+        dj = np.where(dj < width, dj, dj - wide)
+        di, held = int(pdf["line"].iloc[0]), n > 0
+        return pd.DataFrame({"di": di, "dj": dj[held], "n": n[held] * (2 if di else 1)})
+
+    schema = "block long, line long, re array<double>, im array<double>"
+    spectrum = cells.select(F.col("row").cast("long"), F.col("col").cast("long")).distinct().groupBy("row").applyInPandas(across, schema)
+    return spectrum.groupBy("block").applyInPandas(down, schema).groupBy("line").applyInPandas(back, "di long, dj long, n long")
 
 
 def from_offsets(counted: DataFrame, model: Model, cell: float, area: float, diagonal: str = "limit") -> DataFrame:
@@ -69,8 +135,8 @@ def brute_force(cells: DataFrame, model: Model, cell: float, area: float) -> Dat
 
 
 def autocorrelation(cells: DataFrame, model: Model, cell: float, area: float) -> DataFrame:
-    """The same through the footprint's autocorrelation, whose zero offset leaves the nugget out."""
-    return from_offsets(offsets(cells), model, cell, area, "limit")
+    """The same through the footprint's autocorrelation by convolution, whose zero offset leaves the nugget out."""
+    return from_offsets(convolved_offsets(cells), model, cell, area, "limit")
 
 
 def monte_carlo(pairs: DataFrame, model: Model, sigma: tuple[Column, Column] | None = None) -> DataFrame:

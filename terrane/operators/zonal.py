@@ -6,20 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.operators.geometry import within
+from terrane.operators.ranks import percentiles
 
 KEY = ["row", "col"]
 
 
 def describe(cells: DataFrame, *by: str, value: str = "value", order: tuple = ("row", "col")) -> DataFrame:
     """Mean, median, mode (the value met first, in row-major order), population moments and outer percentiles."""
-    v = F.col(value)
-    p = F.percentile(v, F.array(*[F.lit(x) for x in (0.5, 0.005, 0.995)]))
-    main = cells.filter(v.isNotNull()).groupBy(*by).agg(
-        F.avg(v).alias("mean"), p[0].alias("median"), F.stddev_pop(v).alias("std"), F.var_pop(v).alias("variance"), F.min(v).alias("min"), F.max(v).alias("max"),
-        F.skewness(v).alias("skewness"), F.kurtosis(v).alias("kurtosis"), p[1].alias("p0_5"), p[2].alias("p99_5"), F.count(v).alias("n"),
+    v, p = F.col(value), F.col("p")
+    valid = cells.filter(v.isNotNull())
+    main = valid.groupBy(*by).agg(
+        F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.var_pop(v).alias("variance"), F.min(v).alias("min"), F.max(v).alias("max"),
+        F.skewness(v).alias("skewness"), F.kurtosis(v).alias("kurtosis"), F.count(v).alias("n"),
     )
-    modes = first_mode(cells, *by, value=value, order=order)
-    return main.join(modes, list(by)) if by else main.join(F.broadcast(modes))
+    parts = [percentiles(valid, (0.5, 0.005, 0.995), *by, value=value), first_mode(cells, *by, value=value, order=order)]
+    for part in parts:  # a row a group
+        main = main.join(part, list(by)) if by else main.join(F.broadcast(part))
+    return main.select(*by, "mean", p[0].alias("median"), "std", "variance", "min", "max", "skewness", "kurtosis", p[1].alias("p0_5"), p[2].alias("p99_5"), "n", "mode")
 
 
 def first_mode(cells: DataFrame, *by: str, value: str = "value", order: tuple = ("row", "col")) -> DataFrame:
@@ -28,13 +31,16 @@ def first_mode(cells: DataFrame, *by: str, value: str = "value", order: tuple =
 
 
 def smallest_mode(cells: DataFrame, value: str = "value") -> DataFrame:
-    return cells.agg(F.mode(value, True).alias("mode"))
+    counts = cells.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
+    return counts.agg(F.min_by(value, F.struct(-F.col("n"), value)).alias("mode"))
 
 
 def summary(cells: DataFrame, value: str = "value") -> DataFrame:
     """The figures beside a histogram; mode is the smallest one."""
-    p = F.percentile(value, F.array(*[F.lit(x) for x in (0.5, 0.25, 0.75, 0.01, 0.99)]))
-    return cells.agg(F.avg(value).alias("mean"), p[0].alias("median"), F.mode(value, True).alias("mode"), p[1].alias("q1"), p[2].alias("q3"), p[3].alias("p1"), p[4].alias("p99"), F.min(value).alias("min"), F.max(value).alias("max"))
+    p = F.col("p")
+    ends = cells.agg(F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
+    out = ends.join(F.broadcast(percentiles(cells, (0.5, 0.25, 0.75, 0.01, 0.99), value=value))).join(F.broadcast(smallest_mode(cells, value)))
+    return out.select("mean", p[0].alias("median"), "mode", p[1].alias("q1"), p[2].alias("q3"), p[3].alias("p1"), p[4].alias("p99"), "min", "max")
 
 
 def histogram(cells: DataFrame, bins: int = 60, value: str = "value") -> DataFrame:
@@ -47,7 +53,7 @@ def histogram(cells: DataFrame, bins: int = 60, value: str = "value") -> DataFra
 
 
 def median(cells: DataFrame, value: str = "value") -> DataFrame:
-    return cells.agg(F.percentile(value, F.lit(0.5)).alias("median"))
+    return percentiles(cells, (0.5,), value=value).select(F.col("p")[0].alias("median"))
 
 
 def rms(cells: DataFrame, value: str = "value", strict: bool = False) -> DataFrame:

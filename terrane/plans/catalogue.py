@@ -511,11 +511,14 @@ def sample_density(spark, d):
     return r6(sampling.sample_cells(cells, n, sampling.hash_rank(42)))
 
 
-@query("bootstrap_median", f"""WITH {D}, u AS (SELECT row_number() OVER (ORDER BY "row", col) - 1 AS id, value FROM d), c AS (SELECT count(*) AS n FROM d),
-k AS (SELECT rep, (rep * 7919 + i * 104729 + 42) % n AS id FROM c, (SELECT unnest(range(50)) AS rep), (SELECT unnest(range(2000)) AS i) WHERE i < greatest(1, CAST(round_even(0.1e0 * n, 0) AS BIGINT))),
-m AS (SELECT rep, quantile_cont(value, 0.5) AS median FROM k JOIN u USING (id) GROUP BY 1) SELECT round(stddev_pop(median), 6) AS error, round(avg(median), 6) AS mean FROM m""")
+@query("bootstrap_median", f"""WITH {D}, u AS (SELECT row_number() OVER (ORDER BY value) - 1 AS id, value FROM d), c AS (SELECT count(*) AS n FROM d),
+k AS (SELECT rep, (rep * 7919 + 42) % n AS i, (rep * 104729 + 7) % n AS j FROM c, (SELECT unnest(range(1000)) AS rep)),
+m AS (SELECT (a.value + b.value) / 2 AS median FROM k JOIN u a ON a.id = k.i JOIN u b ON b.id = k.j) SELECT round(stddev_pop(median), 6) AS error, round(avg(median), 6) AS mean FROM m""")
 def bootstrap_median(spark, d):
-    return r6(sampling.bootstrap_median(fx.diff(spark, d), 50, 0.1, F.expr("(rep * 7919 + i * 104729 + 42) % n")))
+    """1,000 replicates; their ranks are given, as the beta draws have no SQL twin."""
+    cells = fx.diff(spark, d)
+    n = cells.count()
+    return r6(sampling.bootstrap_median(cells, ranks=[((rep * 7919 + 42) % n, (rep * 104729 + 7) % n) for rep in range(1000)] if n else []))
 
 
 @query("spherical_eval", f"SELECT h, round({gamma_sql('h')}, 6) AS gamma, round(28e0 - {gamma_sql('h')}, 6) AS cov, round(greatest(-1e0, least(1e0, 1 - {gamma_sql('h')} / 28e0)), 6) AS rho, 3e0 AS nugget FROM (SELECT CAST(i AS DOUBLE) / 2 AS h FROM (SELECT unnest(range(80)) AS i))")

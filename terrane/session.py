@@ -22,9 +22,11 @@ def session(name: str = "terrane", **conf: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder driver and executors share, by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder driver and executors share, by spark.checkpoint.dir; where that is unset a temporary one, in a local session only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="terrane-")
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext.getCheckpointDir():
