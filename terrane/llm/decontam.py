@@ -8,8 +8,9 @@ eighth word and every stretch's start make the index.  All test phrases are sear
 backwards at once; occurrences are located by walking to a sampled position, and their
 word spans are merged.
 
-The benchmark is searched in blocks of bounded size, so that no task holds more than a
-block of it.  Words are compared by 64-bit hashes.
+The benchmark is searched in blocks of bounded size, PASS_BLOCKS of them in one pass over the documents, so that no task
+holds more of it.  Later passes return rows for documents with hits only, which are joined to the first one's.  Words are
+compared by 64-bit hashes.
 
 Nulls: a null text has no words.  An item without id counts as one whose id is the empty
 string; an item id counts once, however many rows have it.  A document without words is
@@ -23,15 +24,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.shared import discard, stash, table
+from terrane.llm.shared import id_key, table
 from terrane.llm.textkit import LOWER, NOT_ALNUM, Words, chunks
 
 WINDOW = 13
-#: Bytes of benchmark text that are searched in one pass, about.
+#: Bytes of benchmark text of a block, about, and blocks that are searched in one pass.
 BLOCK_BYTES = 4 << 20
+PASS_BLOCKS = 4
 #: Distance of sampled suffix positions in a stretch.
 SAMPLE = 8
 #: Words of stretches that are indexed together, about.
@@ -236,43 +238,89 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _search(items, text: str, state: str):
-    """Adds what a block's items hit to the state column."""
+def _all_found(blocks: list[Phrases], column: pa.Array) -> tuple[np.ndarray, dict[int, list[str]], dict[int, list[tuple[int, int]]]]:
+    """``_found`` of several blocks, put together."""
+    n_words, items, spans = _found(blocks[0], column)
+    for phrases in blocks[1:]:
+        _, more, places = _found(phrases, column)
+        for r, ids in more.items():
+            items[r] = sorted({*items.get(r, []), *ids})
+            spans[r] = merged([*spans.get(r, []), *places[r]])
+    return n_words, items, spans
+
+
+def _states(n_words, items, spans, rows, kind) -> pa.Array:
+    return pa.array([{"n_words": n_words[r], "items": items.get(r, []), "spans": [{"start": a, "end": b} for a, b in spans.get(r, [])]} for r in rows], type=kind)
+
+
+def _search(blocks, text: str, state: str):
+    """Fills the state column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = Phrases(items.value)
+        held = [Phrases(b.value) for b in blocks]
         for batch in batches:
-            n_words, ids, spans = _found(phrases, batch.column(text))
             place = batch.schema.get_field_index(state)
-            rows = batch.column(place)
-            if rows.null_count < len(rows):
-                for r, old in enumerate(rows.to_pylist()):
-                    if old and old["items"]:
-                        ids[r] = sorted({*ids.get(r, []), *old["items"]})
-                        spans[r] = merged([*spans.get(r, []), *((x["start"], x["end"]) for x in old["spans"])])
-            kind = rows.type
-            new = pa.array([{"n_words": n, "items": ids.get(r, []), "spans": [{"start": a, "end": b} for a, b in spans.get(r, [])]} for r, n in enumerate(n_words.tolist())], type=kind)
+            n_words, items, spans = _all_found(held, batch.column(text))
+            new = _states(n_words.tolist(), items, spans, range(batch.num_rows), batch.schema.field(place).type)
             yield pa.RecordBatch.from_arrays([new if c == place else batch.column(c) for c in range(batch.num_columns)], schema=batch.schema)
 
     return run
 
 
+HITS = pa.schema([("k", pa.int64()), ("th", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+
+
+def _search_hits(blocks):
+    """Rows of the documents with hits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [Phrases(b.value) for b in blocks]
+        for batch in batches:
+            _, items, spans = _all_found(held, batch.column("text"))
+            rows = sorted(items)
+            if rows:
+                hit = batch.take(pa.array(rows))
+                places = [[{"start": a, "end": b} for a, b in spans[r]] for r in rows]
+                yield pa.RecordBatch.from_arrays([hit.column("k"), hit.column("th"), pa.array([items[r] for r in rows], HITS.field(2).type), pa.array(places, HITS.field(3).type)], schema=HITS)
+
+    return run
+
+
+def _merged(spans: Column) -> Column:
+    """Word ranges, those that meet made one."""
+    def step(acc, x):
+        last = F.element_at(acc, -1)
+        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
+        return F.when(F.size(acc) == 0, F.array(x)).when(x["start"] <= F.get(acc, F.size(acc) - 1)["end"], joined).otherwise(F.concat(acc, F.array(x)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<start:int,end:int>>"), step)
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", state: str = "contamination") -> DataFrame:
     """``docs`` with a column ``state``: n_words, items (ids with occurrences, sorted) and spans
     (merged word ranges that occurrences cover)."""
     spark = docs.sparkSession
     bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    blocks = max(1, -(-(bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
+    n = max(1, -(-(bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
+
+    def block(k):  # bounded by BLOCK_BYTES
+        return spark.sparkContext.broadcast([tuple(r) for r in bench.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).collect()])
+
     out = docs.withColumn(state, F.lit(None).cast(STATE))
-    schema, before = out.schema, None
-    for k in range(blocks):
-        rows = bench.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).collect()  # bounded by BLOCK_BYTES
-        block = spark.sparkContext.broadcast([tuple(r) for r in rows])
-        out = out.mapInArrow(_search(block, text, state), schema)
-        if k < blocks - 1:
-            out, before = stash(out, "scanned"), discard(before) if before is not None else None
-            before = out
-    return out
+    out = out.mapInArrow(_search([block(k) for k in range(min(n, PASS_BLOCKS))], text, state), out.schema)
+    if n <= PASS_BLOCKS:
+        return out
+    keyed = docs.select(id_key().alias("k"), F.xxhash64(text).alias("th"), F.col(text).cast("string").alias("text"))
+    hits = None
+    for low in range(PASS_BLOCKS, n, PASS_BLOCKS):
+        found = keyed.mapInArrow(_search_hits([block(k) for k in range(low, min(n, low + PASS_BLOCKS))]), "k long, th long, items array<string>, spans array<struct<start:int,end:int>>")
+        hits = found if hits is None else hits.unionByName(found)
+    # of rows of the same id and text, the hits are the same
+    hits = hits.groupBy("k", "th").agg(F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.flatten(F.collect_set("spans")).alias("spans"))
+    k, th, items, spans = [f"hit{i}" for i in range(len(docs.columns) + 5) if f"hit{i}" not in out.columns][:4]
+    met = out.withColumns({k: id_key(), th: F.xxhash64(text)}).join(hits.toDF(k, th, items, spans), [k, th], "left")
+    more = F.struct(F.col(f"{state}.n_words").alias("n_words"), F.array_sort(F.array_distinct(F.concat(f"{state}.items", items))).alias("items"), _merged(F.concat(f"{state}.spans", spans)).alias("spans"))
+    return met.withColumn(state, F.when(F.col(items).isNull(), F.col(state)).otherwise(more)).select(*out.columns)
 
 
 def contaminated(n_hit, n_words):
