@@ -4,15 +4,16 @@ Two states, clean and toxic.  A token's features are the token and its first thr
 bytes, lower-cased; each has a weight for the toxic state, and state pairs have weights of
 their own.  Token labels come from document labels: features that together explain the
 toxic documents and occur in no clean ones, found by greedy cover, mark the toxic tokens
-of toxic documents.  Weights are fitted by the gradient of the chain's log-likelihood
-(forward-backward over windows of tokens) with an L1 penalty.
+of toxic documents, so the labels of tokens are made, not given.  Weights are fitted by the gradient of the chain's
+log-likelihood (forward-backward over windows of a document's tokens) with an L1 penalty.
 
 Scoring runs forward-backward over every whole text.  A document's score is its largest
 marginal of the toxic state; offending spans are runs of tokens with a marginal of a half
 or more, as character offsets.
 
 The model is fitted on a bounded sample: TRAIN_ROWS labelled documents of each class,
-by a hash of doc_id, never of the held-out quarter; all documents are scored.
+by a hash of doc_id, never of the held-out quarter, and TRAIN_BYTES of texts in all; of their windows those with
+a toxic token, and CLEAN_WINDOWS times as many (LEAST_CLEAN more) of clean documents.  All documents are scored.
 
 Nulls: a null text has no tokens; texts without tokens score 0.  A null doc_id has no label
 and counts as the text '' for the held-out rule.  Rows of labels with nulls are ignored; of
@@ -37,6 +38,10 @@ from terrane.llm.textkit import BYTE_CODES, BYTE_POWERS, LOWER, NOT_ALNUM, Words
 TEXT_BYTES = 4 << 20
 #: Labelled documents of each class that the model is fitted on, at most.
 TRAIN_ROWS = 1500
+#: Bytes of their texts, at most.
+TRAIN_BYTES = 64 << 20
+#: Clean windows for each one with a toxic token, and besides.
+CLEAN_WINDOWS, LEAST_CLEAN = 1, 2000
 PREFIXES = (3, 4, 5, 6)
 THRESHOLD = 0.3
 #: Toxic documents not yet explained that a feature must explain to mark tokens.
@@ -149,31 +154,40 @@ def fit(texts: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, float,
     del docs
     label = np.repeat(np.array([x for x, _ in texts], bool), np.diff(first))
     tag = np.isin(features, chosen).any(1) & label
-    # windows around toxic tokens, and as many without any, evenly over the clean texts
-    near = np.unique(np.flatnonzero(tag) // SPAN_TOKENS)
-    other = np.setdiff1d(np.arange(len(tag) // SPAN_TOKENS), np.unique(np.flatnonzero(label) // SPAN_TOKENS))
-    other = other[np.linspace(0, len(other) - 1, min(len(other), len(near) + 2000)).astype(np.int64)] if len(other) else other
-    near = near[near < len(tag) // SPAN_TOKENS]
-    at = (np.concatenate((near, other))[:, None] * SPAN_TOKENS + np.arange(SPAN_TOKENS)).astype(np.int64)
+    # windows of a document's tokens, the last one shorter: those with a toxic token, and clean documents' evenly
+    pieces = -(-np.diff(first) // SPAN_TOKENS)
+    owner = np.repeat(np.arange(len(texts)), pieces)
+    begin = first[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * SPAN_TOKENS
+    length = np.minimum(first[owner + 1] - begin, SPAN_TOKENS)
+    sums = np.concatenate(([0], np.cumsum(tag)))
+    near = np.flatnonzero(sums[begin + length] > sums[begin])
     if not len(chosen) or not len(near):
         return np.zeros(0, np.uint64), np.zeros(0), -20.0, np.zeros((2, 2)), 0.0
-    features = features[at]
+    other = np.flatnonzero(~np.array([x for x, _ in texts], bool)[owner])
+    most = CLEAN_WINDOWS * len(near) + LEAST_CLEAN
+    other = other[np.linspace(0, len(other) - 1, min(len(other), most)).astype(np.int64)] if len(other) else other
+    taken = np.concatenate((near, other))
+    held = np.arange(SPAN_TOKENS) < length[taken, None]
+    at = np.where(held, begin[taken, None] + np.arange(SPAN_TOKENS), 0)
+    features = np.where(held[:, :, None], features[at], np.uint64(0))
     names = np.unique(features)
-    ids, gold = np.searchsorted(names, features).astype(np.int32), tag[at].astype(np.int64)
+    ids, gold = np.searchsorted(names, features).astype(np.int32), (tag[at] & held).astype(np.int64)
     del features
     weight, bias, pairs, start = np.zeros(len(names)), -2.0, np.zeros((2, 2)), 0.0
     weight[names == 0] = 0
     total = np.full(len(names), 1e-8)
     other_total = np.full(6, 1e-8)
     n = len(at)
-    want_pairs = np.bincount((gold[:, :-1] * 2 + gold[:, 1:]).ravel(), minlength=4).reshape(2, 2)
+    both = held[:, 1:]
+    want_pairs = np.bincount((gold[:, :-1] * 2 + gold[:, 1:])[both], minlength=4).reshape(2, 2)
     for _ in range(ROUNDS):
         emission = bias + weight[ids].sum(2)
         alpha = np.empty((n, SPAN_TOKENS, 2))
         alpha[:, 0] = np.stack((np.zeros(n), start + emission[:, 0]), 1)
         for t in range(1, SPAN_TOKENS):
-            alpha[:, t] = np.logaddexp(alpha[:, t - 1, :1] + pairs[0], alpha[:, t - 1, 1:] + pairs[1])
-            alpha[:, t, 1] += emission[:, t]
+            moved = np.logaddexp(alpha[:, t - 1, :1] + pairs[0], alpha[:, t - 1, 1:] + pairs[1])
+            moved[:, 1] += emission[:, t]
+            alpha[:, t] = np.where(held[:, t, None], moved, alpha[:, t - 1])
         beta, got_pairs = np.zeros((n, 2)), np.zeros((2, 2))
         norm = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
         posterior = np.empty((n, SPAN_TOKENS))
@@ -182,9 +196,9 @@ def fit(texts: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, float,
             if t:
                 out = beta + np.stack((np.zeros(n), emission[:, t]), 1)
                 joint = alpha[:, t - 1, :, None] + pairs + out[:, None, :]
-                got_pairs += np.exp(joint - norm[:, None, None]).sum(0)
-                beta = np.logaddexp(pairs[:, 0] + out[:, :1], pairs[:, 1] + out[:, 1:])
-        error = (gold - posterior) / n
+                got_pairs += np.exp(joint - norm[:, None, None])[held[:, t]].sum(0)
+                beta = np.where(held[:, t, None], np.logaddexp(pairs[:, 0] + out[:, :1], pairs[:, 1] + out[:, 1:]), beta)
+        error = np.where(held, gold - posterior, 0) / n
         gradient = np.bincount(ids.ravel(), np.repeat(error.ravel(), ids.shape[2]), len(names))
         total += gradient**2
         rate = STEP / np.sqrt(total)
@@ -200,9 +214,13 @@ def fit(texts: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, float,
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = []
+    rows, room = [], TRAIN_BYTES
     for batch in batches:
-        rows += [(int(y), t.encode()) for y, t in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist())]
+        for y, t in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
+            text = t.encode()
+            room -= len(text)
+            if room >= 0:
+                rows.append((int(y), text))
     if len({y for y, _ in rows}) == 2:
         names, weight, bias, pairs, start = fit(rows)
         yield pa.RecordBatch.from_pydict({"name": np.concatenate((names.view(np.int64), np.arange(6))), "weight": np.concatenate((weight, [bias, start], pairs.ravel())), "is_feature": np.arange(len(names) + 6) < len(names)})
@@ -215,8 +233,8 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> d
     for y in (0, 1):  # ids only, and a bounded number of them
         part = known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-    got = rows.repartition(1).mapInArrow(_train, "name long, weight double, is_feature boolean").collect()
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text", F.xxhash64("doc_id", "text").alias("order"))
+    got = rows.repartition(1).sortWithinPartitions("order").mapInArrow(_train, "name long, weight double, is_feature boolean").collect()
     features = sorted((r.name, r.weight) for r in got if r.is_feature)
     rest = [r.weight for r in sorted((r for r in got if not r.is_feature), key=lambda r: r.name)]
     hashes = np.array([f for f, _ in features], np.int64).view(np.uint64)
