@@ -230,8 +230,8 @@ def closed_form(area: Column, resolution: float, rms: float, model: Model) -> di
 METHODS = {"analytical": "analytical", "analytic": "analytical", "brute_force": "brute_force", "numerical": "brute_force", "monte_carlo": "monte_carlo", "montecarlo": "monte_carlo", "fft": "autocorrelation", "convolution": "autocorrelation", "hug": "k_centres", "hugonnet": "k_centres", "raster": "raster"}
 
 
-def estimate(method: str, cells: DataFrame, model: Model, cell: float = 1.0, pairs: int = 100_000, centres: int = 100, seed: int = 42) -> DataFrame:
-    """sigma of the area that ``cells(id, row, col, x, y)`` cover, by method."""
+def estimate(method: str, cells: DataFrame, model: Model, cell: float = 1.0, pairs: int = 100_000, centres: int = 100, seed: int = 42, detailed: bool = True) -> DataFrame:
+    """sigma of the area that ``cells(id, row, col, x, y)`` cover, by method; a raster that is not ``detailed`` is its bounds."""
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}; known: {', '.join(METHODS)}")
     kind = METHODS[method]
@@ -240,6 +240,9 @@ def estimate(method: str, cells: DataFrame, model: Model, cell: float = 1.0, pai
         return analytical(cells.sparkSession, area, model)
     if kind in ("brute_force", "autocorrelation"):
         return globals()[kind](cells, model, cell, area)
+    if kind == "raster" and not detailed:
+        box = cells.agg(F.min("x") - cell / 2, F.min("y") - cell / 2, F.max("x") + cell / 2, F.max("y") + cell / 2).first()
+        return monte_carlo(box_pairs(cells.sparkSession, tuple(box), pairs, seed), model)
     if kind in ("monte_carlo", "raster"):
         return monte_carlo(draw_pairs(cells, pairs, cell, seed), model)
     chosen = cells.orderBy(draw(seed, "row", "col"), "row", "col").limit(centres).select(F.col("x").alias("cx"), F.col("y").alias("cy"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terrane.functions import scalars
 from terrane.operators import fill, geometry, model, pointcloud, raster, sampling, terrain, uncertainty, variogram, zonal
 from terrane.plans import fixtures as fx
+from terrane.plans import regional
 from terrane.plans.fixtures import D, FULL, G, IN, MODEL, P, edge_values, gamma_sql
 from terrane.session import shared_folder
 from terrane.sources import readers
@@ -430,14 +431,11 @@ def utm_zone(spark, d):
     return c.select("c_custkey", scalars.utm_zone(F.col("lon")).alias("zone"), scalars.utm_epsg(F.col("lon"), F.col("lat")).alias("epsg"))
 
 
-_GEOID = [("egm96", "egm96_15.tif"), ("egm2008", "egm08_25.tif"), ("geoid18", "g2018u0.tif"), ("navd 88", "navd.tif")]
-
-
-@query("geoid_lookup", "SELECT n_nationkey, a AS alias, CASE n_nationkey % 5 WHEN 0 THEN 'egm96_15.tif' WHEN 1 THEN 'egm08_25.tif' WHEN 2 THEN 'g2018u0.tif' WHEN 3 THEN 'navd.tif' ELSE a END AS grid FROM (SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'EGM_96' WHEN 1 THEN 'egm 2008' WHEN 2 THEN 'Geoid18' WHEN 3 THEN 'NAVD 88' ELSE n_name END AS a FROM nation)")
+@query("geoid_lookup", "SELECT n_nationkey, a AS alias, CASE n_nationkey % 6 WHEN 0 THEN 'egm96_15.gtx' WHEN 1 THEN 'egm08_25.gtx' WHEN 2 THEN 'us_nga_geoid18_conus.tif' WHEN 3 THEN 'NAVD 88' WHEN 4 THEN 'egm08_1.gtx' ELSE a END AS grid FROM (SELECT n_nationkey, CASE n_nationkey % 6 WHEN 0 THEN 'EGM_96' WHEN 1 THEN 'egm 2008' WHEN 2 THEN 'Geoid18' WHEN 3 THEN 'NAVD 88' WHEN 4 THEN 'EGM2008_1' ELSE n_name END AS a FROM nation)")
 def geoid_lookup(spark, d):
-    k = F.col("n_nationkey") % 5
-    names = fx.table(spark, d, "nation").select("n_nationkey", F.when(k == 0, "EGM_96").when(k == 1, "egm 2008").when(k == 2, "Geoid18").when(k == 3, "NAVD 88").otherwise(F.col("n_name")).alias("alias"))
-    return readers.geoid_grid(names, spark.createDataFrame(_GEOID, "alias string, grid string"))
+    k = F.col("n_nationkey") % 6
+    names = fx.table(spark, d, "nation").select("n_nationkey", F.when(k == 0, "EGM_96").when(k == 1, "egm 2008").when(k == 2, "Geoid18").when(k == 3, "NAVD 88").when(k == 4, "EGM2008_1").otherwise(F.col("n_name")).alias("alias"))
+    return readers.geoid_grid(names)
 
 
 _WKT = 'COMPD_CS["x",PROJCS["u",GEOGCS["w",AUTHORITY["EPSG","4326"]],AUTHORITY["EPSG","326%02d"]],VERT_CS["v",AUTHORITY["EPSG","5703"]],FRAME_EPOCH[20%02d.5]]'
@@ -653,6 +651,53 @@ def unc_total(spark, d):
     return r6(out.select("uncorrelated", "correlated", uncertainty.total(F.col("uncorrelated"), F.col("correlated")).alias("total")))
 
 
+_HIGH = ([26.0, 7.0], [9.0, 30.0], 4.0)
+_BOUNDS = {"central": MODEL, "min": _LOW, "max": _HIGH}
+
+
+def _scope_sql(scope: str, cells: str) -> str:
+    """Numbered cells, pairs of them by arithmetic, and the rows of a scope."""
+    rows = " UNION ALL ".join(
+        f"SELECT '{scope}' AS scope, '{name}' AS component, '{stat}' AS stat, sqrt(greatest(0, avg({uncertainty.variance(m)}e0 - {gamma_sql('h', part)}))) AS correlated FROM k_{scope}"
+        for stat, m in _BOUNDS.items() for name, part in {"total": m, "1": uncertainty.component(m, 0), "2": uncertainty.component(m, 1)}.items())
+    return f"""z_{scope} AS (SELECT "row", col, value, row_number() OVER (ORDER BY "row", col) - 1 AS id FROM {cells}), n_{scope} AS (SELECT count(*) AS n FROM z_{scope}),
+q_{scope} AS (SELECT (i * 7919 + 13) % n AS i, (i * 104729 + 7) % n AS j FROM n_{scope}, (SELECT unnest(range(20000)) AS i)),
+k_{scope} AS (SELECT sqrt(CAST((a."row" - b."row") * (a."row" - b."row") + (a.col - b.col) * (a.col - b.col) AS DOUBLE)) AS h FROM q_{scope} q JOIN z_{scope} a ON a.id = q.i JOIN z_{scope} b ON b.id = q.j),
+s_{scope} AS ({rows}), u_{scope} AS (SELECT sqrt(avg(value * value)) / sqrt(count(*)) AS uncorrelated FROM z_{scope})"""
+
+
+def _given_pairs(spark, cells: DataFrame) -> DataFrame:
+    """20,000 pairs over numbered cells(id, x, y), by arithmetic that SQL repeats."""
+    n = max(cells.count(), 1)
+    at = lambda k, m: cells.select(F.col("id").alias(k), F.col("x").alias(f"x{m}"), F.col("y").alias(f"y{m}"))
+    picked = spark.range(20_000).select(((F.col("id") * 7919 + 13) % n).alias("i"), ((F.col("id") * 104729 + 7) % n).alias("j"))
+    return picked.join(at("i", 1), "i").join(at("j", 2), "j")
+
+
+@query("unc_regional", f"WITH {IN}, {_scope_sql('polygon', '(SELECT * FROM h WHERE poly_id = 2)')}, {_scope_sql('raster', 'd')}, l AS (SELECT * FROM s_polygon JOIN u_polygon ON TRUE UNION ALL SELECT * FROM s_raster JOIN u_raster ON TRUE) "
+       f"SELECT scope, component, stat, {r6_sql('correlated', 'uncorrelated')}, CASE WHEN component = 'total' THEN round(sqrt(uncorrelated * uncorrelated + correlated * correlated), 6) END AS total FROM l")
+def unc_regional(spark, d):
+    """Polygon and raster, all cells of each: total and components by the central model and its bounds."""
+    one = regional.Regional.of(fx.diff(spark, d), fx.polygons(spark).filter("poly_id = 2"), MODEL, _LOW, _HIGH)
+    polygon, raster_ = (_given_pairs(spark, one.numbered(cells)) for cells in (one.inside(), one.cells))
+    return r6(one.uncertainty(polygon, raster_))
+
+
+@query("unc_kcentre_map", f"WITH {IN}, aa AS (SELECT col AS x, \"row\" AS y, row_number() OVER (ORDER BY \"row\", col) - 1 AS id FROM h WHERE poly_id = 2), mm AS (SELECT \"row\" // 4 AS \"row\", col // 4 AS col, avg(value * value) AS value FROM d GROUP BY 1, 2), "
+       "gg AS (SELECT max(\"row\") AS r1, min(\"row\") AS r0, max(col) AS c1, min(col) AS c0 FROM mm), pp AS (SELECT aa.*, greatest(least(ceil(aa.y / 4e0 - 1), r1), r0) AS r, greatest(least(ceil(aa.x / 4e0 - 1), c1), c0) AS c FROM aa, gg), "
+       "vv AS (SELECT avg(mm.value) AS variance FROM pp LEFT JOIN mm ON mm.\"row\" = pp.r AND mm.col = pp.c), "
+       f"kk AS (SELECT b.id, sum(1 - {gamma_sql('h')} / 28e0) AS i, count(*) AS n FROM (SELECT z.id, sqrt(CAST((a.x - z.x) * (a.x - z.x) + (a.y - z.y) * (a.y - z.y) AS DOUBLE)) AS h FROM aa a, aa z WHERE z.id % 17 = 0) b GROUP BY 1) "
+       "SELECT round(sqrt(greatest(0, avg(i) / max(n))) * sqrt(any_value(variance)), 6) AS sigma FROM kk, vv")
+def unc_kcentre_map(spark, d):
+    """All cells of the polygon, every seventeenth a centre, and a variance map of 4 by 4 cells."""
+    diff = fx.diff(spark, d)
+    one = regional.Regional.of(diff, fx.polygons(spark).filter("poly_id = 2"), MODEL)
+    cells = one.numbered(one.inside())
+    variances = diff.groupBy(F.floor(F.col("row") / 4).alias("row"), F.floor(F.col("col") / 4).alias("col")).agg(F.avg(F.col("value") * F.col("value")).alias("value"))
+    centres = cells.filter("id % 17 = 0").select(F.col("x").alias("cx"), F.col("y").alias("cy"))
+    return r6(regional.local_k_centres(cells, centres, MODEL, variances, (4.0, 0.0, 4.0, 0.0)))
+
+
 # all cells of the polygon, where _area takes one of nine; the statements differ in that only
 _ALL = IN + ", a AS (SELECT \"row\", col, value, row_number() OVER (ORDER BY \"row\", col) - 1 AS id FROM h WHERE poly_id = 2), c AS (SELECT count(*) AS n FROM a)"
 
