@@ -1,9 +1,9 @@
 """Filling cells without a value.
 
-idw follows the idea of the usual nodata fill: the nearest valid cell in each of the four directions along
-row and column within reach, weighted by 1 / distance (diagonals and smoothing left out).  linear interpolates
+idw takes the nearest valid cell in each of eight directions (rows, columns and both diagonals) within reach, weighted by
+1 / distance; what was filled may then be smoothed by means over three by three cells.  linear interpolates
 along row and column between the valid cells at either side and averages the two; outside of such a pair there is
-no value.  cubic takes the two nearest on each side.  spline solves a thin-plate system over a window around
+no value.  cubic and spline solve a radial system (cubed distances, thin plates) over a window around
 each tile.  The deviations from a global triangulation are these.
 """
 
@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Cells along the side of a tile that a radial system is solved for.
+SPLINE_TILE = 12
 METHODS = ("idw", "nearest", "linear", "cubic", "spline")
 
 
@@ -28,17 +30,28 @@ def _sides(cells: DataFrame) -> DataFrame:
     return out
 
 
-def _idw(cells: DataFrame, reach: int) -> DataFrame:
+def _idw(cells: DataFrame, reach: int, smoothing: int) -> DataFrame:
+    out = cells
+    lines = {"across": (F.col("row"), F.col("col"), 1.0), "down": (F.col("col"), F.col("row"), 1.0), "fall": (F.col("row") - F.col("col"), F.col("col"), 2**0.5), "rise": (F.col("row") + F.col("col"), F.col("col"), 2**0.5)}
     weights, values = [], []
-    for axis in ("col", "row"):
+    for name, (line, place, step) in lines.items():
+        order = Window.partitionBy(line).orderBy(place)
+        pair = F.when(F.col("value").isNotNull(), F.struct(place.alias("p"), F.col("value").alias("v")))
+        out = out.withColumn(f"{name}_before", F.last(pair, True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+        out = out.withColumn(f"{name}_after", F.first(pair, True).over(order.rowsBetween(1, Window.unboundedFollowing)))
         for side in ("before", "after"):
-            s = F.col(f"{axis}_{side}")
-            d = F.abs(s["p"] - F.col(axis)).cast("double")
+            s = F.col(f"{name}_{side}")
+            d = F.abs(s["p"] - place).cast("double") * step
             near = s.isNotNull() & (d <= reach)
             weights.append(F.when(near, 1 / d).otherwise(0.0))
             values.append(F.when(near, s["v"] / d).otherwise(0.0))
     made = sum(values[1:], values[0]) / F.nullif(sum(weights[1:], weights[0]), F.lit(0.0))
-    return _sides(cells).select("row", "col", F.coalesce("value", made).alias("value"))
+    out = out.select("row", "col", F.col("value").isNull().alias("gap"), F.coalesce("value", made).alias("value"))
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    for _ in range(smoothing):
+        near = out.filter("value is not null").withColumn("o", F.explode(steps)).groupBy((F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col")).agg(F.avg("value").alias("mean"))
+        out = out.join(near, ["row", "col"], "left").select("row", "col", "gap", F.when(F.col("gap") & F.col("value").isNotNull(), F.col("mean")).otherwise(F.col("value")).alias("value"))
+    return out.select("row", "col", "value")
 
 
 def _linear(cells: DataFrame, reach: int) -> DataFrame:
@@ -71,8 +84,11 @@ def nearest(cells: DataFrame, reach: int) -> DataFrame:
 
 
 def _spline(cells: DataFrame, reach: int, cubic: bool) -> DataFrame:
-    """Thin-plate (or cubic radial) interpolation of a tile's gaps from the valid cells within reach of the tile."""
-    tile = max(reach, 8)
+    """Thin-plate (or cubic radial) interpolation of a tile's gaps from all valid cells of the tiles around.
+
+    A tile is as wide as the reach, up to SPLINE_TILE, so a system has nine times its square of cells at most.
+    """
+    tile = min(max(reach, 8), SPLINE_TILE)
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     at = lambda c: F.floor(F.col(c) / tile).cast("long")
     spread = cells.select("row", "col", "value", F.explode(steps).alias("o")).select("row", "col", "value", (at("row") + F.col("o.i")).alias("ti"), (at("col") + F.col("o.j")).alias("tj"), ((F.col("o.i") == 0) & (F.col("o.j") == 0)).alias("own"))
@@ -84,9 +100,6 @@ def _spline(cells: DataFrame, reach: int, cubic: bool) -> DataFrame:
         if len(gaps) and len(known) > 3:
             g, k = gaps[["row", "col"]].to_numpy(float), known[["row", "col"]].to_numpy(float)
             d = np.sqrt(((g[:, None] - k[None]) ** 2).sum(2))
-            if len(k) > 400:  # the cells nearest to any gap make the system
-                pick = np.argsort(d.min(0), kind="stable")[:400]
-                known, k, d = known.iloc[pick], k[pick], d[:, pick]
             kernel = (lambda r: r**3) if cubic else (lambda r: np.where(r > 0, r * r * np.log(np.maximum(r, 1e-12)), 0.0))
             p = np.c_[np.ones(len(k)), k]
             system = np.block([[kernel(np.sqrt(((k[:, None] - k[None]) ** 2).sum(2))), p], [p.T, np.zeros((3, 3))]])
@@ -98,12 +111,12 @@ def _spline(cells: DataFrame, reach: int, cubic: bool) -> DataFrame:
     return spread.groupBy("ti", "tj").applyInPandas(solve, "row long, col long, value double").withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
 
-def fill(cells: DataFrame, method: str = "idw", reach: int = 100) -> DataFrame:
-    """row, col and value, gaps within reach of a valid cell filled."""
+def fill(cells: DataFrame, method: str = "idw", reach: int = 100, smoothing: int = 0) -> DataFrame:
+    """row, col and value, gaps within reach of a valid cell filled; ``smoothing`` rounds after idw."""
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}; known: {', '.join(METHODS)}")
     if method == "nearest":
         return nearest(cells, reach)
     if method in ("spline", "cubic"):
         return _spline(cells, reach, method == "cubic")
-    return (_idw if method == "idw" else _linear)(cells, reach)
+    return _idw(cells, reach, smoothing) if method == "idw" else _linear(cells, reach)

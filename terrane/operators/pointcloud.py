@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions import scalars
@@ -51,25 +51,31 @@ def statistics(points: DataFrame) -> DataFrame:
     return points.agg(*out)
 
 
-def classify_ground(points: DataFrame, cell: float = 1.0, window: int = 5, slope: float = 0.15, threshold: float = 0.5) -> DataFrame:
-    """Ground as class 2 by a morphological opening of the lowest returns (after Pingel et al. 2013).
+def classify_ground(points: DataFrame, cell: float = 1.0, window: float = 18.0, slope: float = 0.15, scalar: float = 1.25, threshold: float = 0.5) -> DataFrame:
+    """Ground as class 2 by the progressive morphological filter (Pingel et al. 2013), with its usual defaults; others class 1.
 
-    Lowest z of each cell, opened by a square window; points that lie no higher above the opened surface
-    than the threshold and what the slope allows are ground, others keep class 1.
+    The lowest returns' surface is opened by square windows of growing radius up to ``window``; a cell that an opening lowers by more
+    than ``slope`` allows over its radius holds an object, and its ground is the opened surface.  Points within ``threshold``
+    and ``scalar`` times the ground's slope of it are ground.  A window is passed over rows, then over columns, in order,
+    so a cell is a row however large the window is; cells without returns take no part.
     """
     keyed = points.withColumns({"row": F.floor(F.col("y") / cell).cast("long"), "col": F.floor(F.col("x") / cell).cast("long")})
-    low = keyed.groupBy("row", "col").agg(F.min("z").alias("low"))
-    reach = range(-(window // 2), window // 2 + 1)
-    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in reach for j in reach])
-
-    def spread(cells: DataFrame, value: str, agg) -> DataFrame:
-        moved = cells.withColumn("o", F.explode(near)).select((F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col"), value)
-        return moved.groupBy("row", "col").agg(agg(value).alias(value))
-
-    opened = spread(spread(low, "low", F.min), "low", F.max).withColumnRenamed("low", "surface")
-    height = F.col("z") - F.col("surface")
-    allowed = F.lit(threshold + slope * cell * (window // 2))
-    return keyed.join(opened, ["row", "col"]).withColumn("classification", F.when(height <= allowed, GROUND).otherwise(1)).drop("row", "col", "surface")
+    cells = keyed.groupBy("row", "col").agg(F.min("z").alias("low")).withColumns({"surface": F.col("low"), "thing": F.lit(False)})
+    along = {"col": Window.partitionBy("row").orderBy("col"), "row": Window.partitionBy("col").orderBy("row")}
+    for n in range(1, math.ceil(window / cell) + 1):
+        opened = cells.withColumn("o", F.min("surface").over(along["col"].rangeBetween(-n, n)))
+        opened = opened.withColumn("o", F.min("o").over(along["row"].rangeBetween(-n, n))).withColumn("o", F.max("o").over(along["row"].rangeBetween(-n, n)))
+        opened = opened.withColumn("o", F.max("o").over(along["col"].rangeBetween(-n, n)))
+        thing = F.col("thing") | (F.col("surface") - F.col("o") > slope * n * cell)
+        cells = opened.select("row", "col", "low", F.col("o").alias("surface"), thing.alias("thing"))
+    cells = cells.select("row", "col", F.when(F.col("thing"), F.col("surface")).otherwise(F.col("low")).alias("ground"))
+    for axis in ("col", "row"):
+        step = lambda k: F.first("ground").over(along[axis].rangeBetween(k, k))  # noqa: B023, E731
+        cells = cells.withColumn(f"by_{axis}", F.coalesce((step(1) - step(-1)) / (2 * cell), F.lit(0.0)))
+    near = F.lit(threshold) + scalar * F.sqrt(F.col("by_col") * F.col("by_col") + F.col("by_row") * F.col("by_row"))
+    allowed = cells.select("row", "col", "ground", near.alias("near"))
+    ground = F.abs(F.col("z") - F.col("ground")) <= F.col("near")
+    return keyed.join(allowed, ["row", "col"]).withColumn("classification", F.when(ground, GROUND).otherwise(1)).drop("row", "col", "ground", "near")
 
 
 METHODS = ("max", "min", "mean", "count", "stdev", "idw")

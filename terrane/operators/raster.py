@@ -58,6 +58,16 @@ def metadata(cells: DataFrame, a: float = 1.0, c: float = 0.0, e: float = -1.0,
     return cells.agg(F.least(x0, x1).alias("left"), F.least(y0, y1).alias("bottom"), F.greatest(x0, x1).alias("right"), F.greatest(y0, y1).alias("top"))
 
 
+def boxed(cells: DataFrame) -> DataFrame:
+    """All cells of the bounding box, null where there is no value; the four bounds come to the driver."""
+    r0, r1, c0, c1 = cells.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first()
+    if r0 is None:
+        return cells.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "value")
+    wide = int(c1 - c0) + 1
+    spine = cells.sparkSession.range((int(r1 - r0) + 1) * wide).select((F.floor(F.col("id") / wide) + int(r0)).cast("long").alias("row"), (F.col("id") % wide + int(c0)).alias("col"))
+    return spine.join(cells.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "value"), KEY, "left").select(*KEY, "value")
+
+
 def extent(meta: DataFrame) -> DataFrame:
     return meta.select(F.array("left", "right", "bottom", "top").alias("extent"))
 

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions import scalars
-from terrane.operators import fill, geometry, model, pointcloud, raster, sampling, terrain, uncertainty, variogram, zonal
+from terrane.operators import fill, geometry, model, pointcloud, raster, sampling, terrain, uncertainty, variogram, vectorise, zonal
 from terrane.plans import fixtures as fx
-from terrane.plans import regional
+from terrane.plans import regional, workflow
 from terrane.plans.fixtures import D, FULL, G, IN, MODEL, P, edge_values, gamma_sql
 from terrane.session import shared_folder
 from terrane.sources import readers
@@ -99,10 +99,26 @@ def cloud_stats(spark, d):
     return r6(pointcloud.statistics(p))
 
 
-@query("ground_classes")
+def _ground_sql(radius: int, slope: float, scalar: float, threshold: float) -> str:
+    """The progressive filter on cells of one unit, an opening a step."""
+    over = lambda by, n: f"OVER (PARTITION BY {'col' if by == 'row' else 'r'} ORDER BY {'r' if by == 'row' else 'col'} RANGE BETWEEN {n} PRECEDING AND {n} FOLLOWING)"
+    steps = "c0 AS (SELECT CAST(floor(y) AS BIGINT) AS r, CAST(floor(x) AS BIGINT) AS col, min(z) AS low, min(z) AS surface, FALSE AS thing FROM p GROUP BY 1, 2)"
+    for n in range(1, radius + 1):
+        steps += f""", a{n} AS (SELECT *, min(surface) {over('col', n)} AS o1 FROM c{n - 1}), b{n} AS (SELECT *, min(o1) {over('row', n)} AS o2 FROM a{n}),
+m{n} AS (SELECT *, max(o2) {over('row', n)} AS o3 FROM b{n}), o{n} AS (SELECT *, max(o3) {over('col', n)} AS o FROM m{n}),
+c{n} AS (SELECT r, col, low, o AS surface, thing OR surface - o > {slope * n}e0 AS thing FROM o{n})"""
+    side = lambda by, k: f"first(ground) OVER (PARTITION BY {'col' if by == 'row' else 'r'} ORDER BY {'r' if by == 'row' else 'col'} RANGE BETWEEN {f'{k} FOLLOWING AND {k} FOLLOWING' if k > 0 else f'{-k} PRECEDING AND {-k} PRECEDING'})"
+    return f"""WITH {P}, {steps}, t AS (SELECT r, col, CASE WHEN thing THEN surface ELSE low END AS ground FROM c{radius}),
+n AS (SELECT *, coalesce(({side('col', 1)} - {side('col', -1)}) / 2e0, 0e0) AS gx, coalesce(({side('row', 1)} - {side('row', -1)}) / 2e0, 0e0) AS gy FROM t)
+SELECT CASE WHEN abs(z - ground) <= {threshold}e0 + {scalar}e0 * sqrt(gx * gx + gy * gy) THEN 2 ELSE 1 END AS classification, count(*) AS n, round(sum(z), 6) AS total
+FROM p JOIN n ON n.r = CAST(floor(y) AS BIGINT) AND n.col = CAST(floor(x) AS BIGINT) GROUP BY 1"""
+
+
+@query("ground_classes", _ground_sql(5, 0.15, 1.25, 0.5))
 def ground_classes(spark, d):
-    """Morphological ground filter: iterated windows, rows only."""
-    return pointcloud.classify_ground(fx.points(spark, d), threshold=20.0).groupBy("classification").agg(F.count("*").alias("n"))
+    """Windows up to a radius of five cells; the usual eighteen differ in number only."""
+    found = pointcloud.classify_ground(fx.points(spark, d), window=5.0)
+    return found.groupBy("classification").agg(F.count("*").alias("n"), F.round(F.sum("z"), 6).alias("total"))
 
 
 @query("utm_project", None)
@@ -233,16 +249,31 @@ _SIDE = FULL + """, w AS (SELECT *, """ + ", ".join(
 ) + " FROM f)"
 
 
+_LINES = (("\"row\"", "col", 1.0), ("col", "\"row\"", 1.0), ("\"row\" - col", "col", 2**0.5), ("\"row\" + col", "col", 2**0.5))
+_EIGHT = FULL + ", w AS (SELECT *, " + ", ".join(
+    f"{fn}(CASE WHEN value IS NOT NULL THEN {what} END IGNORE NULLS) OVER (PARTITION BY {line} ORDER BY {place} ROWS BETWEEN {frame}) AS {part}{i}{side}"
+    for i, (line, place, _) in enumerate(_LINES)
+    for fn, frame, side in (("last_value", "UNBOUNDED PRECEDING AND 1 PRECEDING", "b"), ("first_value", "1 FOLLOWING AND UNBOUNDED FOLLOWING", "a"))
+    for what, part in ((place, "p"), ("value", "v"))
+) + " FROM f)"
+
+
 def _idw_sql(reach: int) -> str:
-    sides = [(axis, f"{n}p{s}", f"{n}v{s}") for axis, n in (("col", "c"), ('"row"', "r")) for s in "ba"]
-    top = " + ".join(f"coalesce(CASE WHEN abs({p} - {x}) <= {reach} THEN {v} / CAST(abs({p} - {x}) AS DOUBLE) END, 0)" for x, p, v in sides)
-    low = " + ".join(f"coalesce(CASE WHEN abs({p} - {x}) <= {reach} THEN 1 / CAST(abs({p} - {x}) AS DOUBLE) END, 0)" for x, p, v in sides)
+    sides = [(place, step, f"p{i}{s}", f"v{i}{s}") for i, (_, place, step) in enumerate(_LINES) for s in "ba"]
+    far = lambda x, step, p: f"(CAST(abs({p} - {x}) AS DOUBLE) * {step!r}e0)"
+    top = " + ".join(f"coalesce(CASE WHEN {far(x, step, p)} <= {reach} THEN {v} / {far(x, step, p)} END, 0)" for x, step, p, v in sides)
+    low = " + ".join(f"coalesce(CASE WHEN {far(x, step, p)} <= {reach} THEN 1 / {far(x, step, p)} END, 0)" for x, step, p, v in sides)
     return f"({top}) / nullif({low}, 0)"
 
 
-@query("fill_idw", f"WITH {_SIDE} SELECT \"row\", col, round(coalesce(value, {_idw_sql(10)}), 6) AS value FROM w")
+_FILLED = f"{_EIGHT}, i AS (SELECT \"row\", col, value IS NULL AS gap, coalesce(value, {_idw_sql(100)}) AS value FROM w)"
+
+
+@query("fill_idw", f"WITH {_FILLED}, o AS (SELECT unnest([-1, 0, 1]) AS k), m AS (SELECT \"row\" + a.k AS \"row\", col + b.k AS col, avg(value) AS mean FROM i, o a, o b WHERE value IS NOT NULL GROUP BY 1, 2) "
+       "SELECT i.\"row\", i.col, round(CASE WHEN gap AND value IS NOT NULL THEN mean ELSE value END, 6) AS value FROM i LEFT JOIN m ON m.\"row\" = i.\"row\" AND m.col = i.col")
 def fill_idw(spark, d):
-    return r6(fill.fill(fx.full_grid(fx.diff(spark, d)), "idw", 10))
+    """The usual reach of 100 cells, smoothed once."""
+    return r6(fill.fill(fx.full_grid(fx.diff(spark, d)), "idw", 100, 1))
 
 
 @query("fill_linear", f"""WITH {_SIDE}, l AS (SELECT *, CASE WHEN col - cpb <= 10 AND cpa - col <= 10 THEN cvb + (cva - cvb) * (col - cpb) / (cpa - cpb) END AS a, CASE WHEN "row" - rpb <= 10 AND rpa - "row" <= 10 THEN rvb + (rva - rvb) * ("row" - rpb) / (rpa - rpb) END AS b FROM w)
@@ -738,6 +769,21 @@ def unc_report(spark, d):
     return uncertainty.report(spark.createDataFrame(rows, "feature string, scope string, component string, stat string, value double"))
 
 
+@query("derived_stable")
+def derived_stable(spark, d):
+    """Polygons of the valid cells outside the triangle: an outline a patch, tested by brute force."""
+    found = vectorise.derive_stable(fx.diff(spark, d), fx.polygon_edges(spark).filter("poly_id = 1"), min_area=2.0)
+    sizes = geometry.measures(geometry.edges(found)).select("poly_id", "area")
+    return r6(found.join(sizes, "poly_id").select("poly_id", "name", "category", "area", F.size("rings").alias("rings")))
+
+
+@query("workflow_dsm", f"WITH {P}, g AS (SELECT survey, CAST(y AS BIGINT) AS \"row\", CAST(x AS BIGINT) AS col, max(z) AS value FROM p GROUP BY 1, 2, 3) SELECT \"row\", col, round(b.value - a.value, 6) AS value FROM (SELECT * FROM g WHERE survey = 'compare') a JOIN (SELECT * FROM g WHERE survey = 'reference') b USING (\"row\", col)")
+def workflow_dsm(spark, d):
+    """Two surveys' surface models and their difference, without filling."""
+    orders = [workflow.Order(role, "usgs", fx.points(spark, d).filter(F.col("survey") == role)) for role in ("compare", "reference")]
+    return r6(workflow.run(spark, *orders, kinds=("dsm",), gaps=None)["diff_dsm"])
+
+
 # --- streams -----------------------------------------------------------------
 
 
