@@ -177,11 +177,13 @@ def resample_nearest(spark, d):
     return r6(raster.resample(fx.diff(spark, d), target, (1.0, 0.0, 1.0, 0.0), (2.5, 0.0, 2.5, 0.0)))
 
 
-@query("align_rasters", f"WITH {G} SELECT g.\"row\", g.col, round(b.v2 - g.v1, 6) AS value FROM g JOIN g b ON b.\"row\" = g.\"row\" + 1 AND b.col = g.col WHERE g.v1 IS NOT NULL AND b.v2 IS NOT NULL AND g.\"row\" < 40")
+@query("align_rasters", f"WITH {P}, a AS (SELECT CAST(floor(y / 2) AS BIGINT) AS \"row\", CAST(floor(x / 2) AS BIGINT) AS col, avg(z) AS v1 FROM p WHERE survey = 'compare' GROUP BY 1, 2), b AS (SELECT CAST(y AS BIGINT) AS \"row\", CAST(x AS BIGINT) AS col, avg(z) AS v2 FROM p WHERE survey = 'reference' GROUP BY 1, 2) "
+       "SELECT a.\"row\", a.col, round(b.v2 - a.v1, 6) AS value FROM a JOIN b ON b.\"row\" = 2 * a.\"row\" + 2 AND b.col = 2 * a.col + 1")
 def align_rasters(spark, d):
-    """The larger raster, whose grid begins one row earlier, goes to the smaller one's."""
-    small, large = fx.survey(spark, d, "compare").filter("row < 40"), fx.survey(spark, d, "reference")
-    a, b, _ = raster.align(small, large, (1.0, 0.0, 1.0, 1.0), (1.0, 0.0, 1.0, 0.0))
+    """The raster of more cells, whose grid begins one row earlier, goes to the other's grid of two by two cells."""
+    p = fx.points(spark, d)
+    coarse, fine = pointcloud.grid(p.filter("survey = 'compare'"), "mean", 2.0), pointcloud.grid(p.filter("survey = 'reference'"), "mean")
+    a, b, _ = raster.align(coarse, fine, (2.0, 0.0, 2.0, 1.0), (1.0, 0.0, 1.0, 0.0))
     return r6(raster.difference(a, b))
 
 
@@ -193,15 +195,8 @@ def datum_shift(spark, d):
     return r6(raster.shift_datum(cells, a, b))
 
 
-@query("patches", f"""WITH RECURSIVE {D}, v AS (SELECT "row", col FROM d WHERE "row" < 12 AND col < 12 AND ("row" * 5 + col * 3) % 4 <> 0),
-t AS (SELECT "row", col, "row" * 4294967296 + col AS patch FROM v UNION SELECT v."row", v.col, t.patch FROM t JOIN v ON abs(v."row" - t."row") + abs(v.col - t.col) = 1)
-SELECT "row", col, min(patch) AS patch FROM t GROUP BY 1, 2""")
+@query("patches")
 def patches(spark, d):
-    return raster.patches(fx.diff(spark, d).filter("row < 12 and col < 12 and (row * 5 + col * 3) % 4 <> 0"))
-
-
-@query("patches_whole")
-def patches_whole(spark, d):
     """Cells that rose, over the whole grid: the recursive statement is too slow for it, so a test by brute force takes its place."""
     return raster.patches(fx.diff(spark, d).filter("value > 0"))
 
@@ -488,12 +483,25 @@ def acquisition_tags(spark, d):
 
 # --- variograms --------------------------------------------------------------
 
-_S = D + ", s AS (SELECT \"row\" * 100 + col AS id, col AS x, \"row\" AS y, value FROM d WHERE (\"row\" * 7919 + col * 104729 + 42) % 10 = 0)"
-_W, _LAG = 4.0, 40.0
+_W, _LAG, _RUNS = 4.0, 40.0, 5
+_ID = "\"row\" * 100 + col AS id, col AS x, \"row\" AS y, value"
+#: A tenth of the cells by hash, as sampling.sample_cells draws them; a run has a seed of its own.
+_DRAWN = f"""SELECT run, {_ID} FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY ("row" * 7919 + col * 104729 + 42 + run * 31) % 10007, "row", col) AS k FROM d, (SELECT unnest(range({_RUNS})) AS run)) WHERE k <= (SELECT CAST(floor(0.1e0 * count(*)) AS BIGINT) FROM d)"""
+_S = D + f", s AS (SELECT * EXCLUDE (run) FROM ({_DRAWN}) WHERE run = 0)"
+
 
+def _numbered(cells: DataFrame, *more: str) -> DataFrame:
+    return cells.select(*more, (F.col("row") * 100 + F.col("col")).alias("id"), F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"), "value")
 
-def _sample(spark, d):
-    return fx.diff(spark, d).filter("(row * 7919 + col * 104729 + 42) % 10 = 0").select((F.col("row") * 100 + F.col("col")).alias("id"), F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"), "value")
+
+def _sample(spark, d, runs: int = 1) -> DataFrame:
+    cells = fx.diff(spark, d)
+    n = sampling.sample_size(cells.count(), 10, 10, 1e9)
+    out = None
+    for run in range(runs):
+        one = sampling.sample_cells(cells, n, sampling.hash_rank(42 + run * 31)).withColumn("run", F.lit(run))
+        out = one if out is None else out.unionByName(one)
+    return _numbered(out, "run")
 
 
 _VARIO = f"""{_S}, k AS (SELECT sqrt(CAST((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS DOUBLE)) AS dist, (a.value - b.value) * (a.value - b.value) AS q FROM s a JOIN s b ON a.id < b.id),
@@ -502,19 +510,17 @@ v AS (SELECT CAST(floor(dist / 4e0) AS INTEGER) AS bin, count(*) AS n, sum(q) AS
 
 @query("variogram_single", f"WITH {_VARIO} SELECT bin, n, round(ssd, 4) AS ssd, round(CASE WHEN n >= 10 THEN ssd / (2 * n) END, 6) AS gamma FROM v")
 def variogram_single(spark, d):
-    out = variogram.variogram(_sample(spark, d), _W, _LAG)
+    out = variogram.variogram(_sample(spark, d).drop("run"), _W, _LAG)
     return out.select("bin", "n", F.round("ssd", 4).alias("ssd"), F.round("gamma", 6).alias("gamma"))
 
 
 @query("variogram_band", f"WITH {D}, s AS (SELECT \"row\" * 100 + col AS id, col AS x, \"row\" AS y, value FROM d), k AS (SELECT sqrt(CAST((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS DOUBLE)) AS dist, (a.value - b.value) * (a.value - b.value) AS q FROM s a JOIN s b ON a.id < b.id AND b.y - a.y <= 6) SELECT CAST(floor(dist / 1e0) AS INTEGER) AS bin, count(*) AS n, round(sum(q) / (2 * count(*)), 6) AS gamma FROM k WHERE dist < 6 GROUP BY 1")
 def variogram_band(spark, d):
     """All cells, short lags: the case in which the band join prunes."""
-    cells = fx.diff(spark, d).select((F.col("row") * 100 + F.col("col")).alias("id"), F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"), "value")
-    return r6(variogram.matheron(variogram.bins(variogram.pairs(cells, 6.0), 1.0), 1).select("bin", "n", "gamma"))
+    return r6(variogram.matheron(variogram.bins(variogram.pairs(_numbered(fx.diff(spark, d)), 6.0), 1.0), 1).select("bin", "n", "gamma"))
 
 
-_RUNS = 5
-_MEAN = f"""{D}, t AS (SELECT run, "row" * 100 + col AS id, col AS x, "row" AS y, value FROM d, (SELECT unnest(range({_RUNS})) AS run) WHERE ("row" * 7919 + col * 104729 + 42 + run * 31) % 10 = 0),
+_MEAN = f"""{D}, t AS ({_DRAWN}),
 k AS (SELECT a.run, sqrt(CAST((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS DOUBLE)) AS dist, (a.value - b.value) * (a.value - b.value) AS q FROM t a JOIN t b ON a.run = b.run AND a.id < b.id),
 v AS (SELECT run, CAST(floor(dist / 4e0) AS INTEGER) AS bin, count(*) AS n, sum(q) AS ssd FROM k WHERE dist < 44 GROUP BY 1, 2),
 y AS (SELECT *, CASE WHEN n >= 10 THEN ssd / (2 * n) END AS gamma FROM v),
@@ -523,9 +529,7 @@ vario AS (SELECT bin, (row_number() OVER (ORDER BY bin) - 0.5e0) * 4 AS lag, (bi
 
 
 def _mean(spark, d):
-    runs = fx.diff(spark, d).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(_RUNS - 1)))).filter("(row * 7919 + col * 104729 + 42 + run * 31) % 10 = 0")
-    sample = runs.select("run", (F.col("row") * 100 + F.col("col")).alias("id"), F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"), "value")
-    return variogram.mean_variogram(variogram.variogram(sample, _W, _LAG, ("run",)), _W, _LAG, _RUNS)
+    return variogram.mean_variogram(variogram.variogram(_sample(spark, d, _RUNS), _W, _LAG, ("run",)), _W, _LAG, _RUNS)
 
 
 @query("variogram_mean", f"WITH {_MEAN} SELECT bin, {r6_sql('lag', 'lag_center', 'gamma', 'err', 'sigma', 'mean_count')} FROM vario")
@@ -580,7 +584,7 @@ def fit_model(spark, d):
 
 @query("bootstrap_params")
 def bootstrap_params(spark, d):
-    return model.intervals(model.bootstrap(_mean(spark, d), *MODEL, replicates=100), 5, [*MODEL[0], *MODEL[1], MODEL[2]])
+    return model.intervals(model.bootstrap(_mean(spark, d), *MODEL), 5, [*MODEL[0], *MODEL[1], MODEL[2]])
 
 
 @query("cv_fit")
@@ -597,32 +601,33 @@ def unc_analytical(spark, d):
 
 
 def _area(spark, d):
-    """Valid cells in the kite, thinned to every third row and column: cells of three by three."""
-    cells = zonal.clip(fx.diff(spark, d), fx.polygon_edges(spark).filter("poly_id = 2")).filter("row % 3 = 0 and col % 3 = 0")
-    return cells.select((F.col("row") / 3).cast("long").alias("row"), (F.col("col") / 3).cast("long").alias("col"), "value")
+    """Valid cells in the kite."""
+    return zonal.clip(fx.diff(spark, d), fx.polygon_edges(spark).filter("poly_id = 2")).select("row", "col", "value")
 
 
-_A = IN + ", a AS (SELECT \"row\" // 3 AS \"row\", col // 3 AS col, value, row_number() OVER (ORDER BY \"row\", col) - 1 AS id FROM h WHERE poly_id = 2 AND \"row\" % 3 = 0 AND col % 3 = 0), c AS (SELECT count(*) AS n FROM a)"
-_H = "3e0 * sqrt(CAST((a.\"row\" - b.\"row\") * (a.\"row\" - b.\"row\") + (a.col - b.col) * (a.col - b.col) AS DOUBLE))"
+_A = IN + ", a AS (SELECT \"row\", col, value, row_number() OVER (ORDER BY \"row\", col) - 1 AS id FROM h WHERE poly_id = 2), c AS (SELECT count(*) AS n FROM a)"
+_H = "sqrt(CAST((a.\"row\" - b.\"row\") * (a.\"row\" - b.\"row\") + (a.col - b.col) * (a.col - b.col) AS DOUBLE))"
+#: The first hundred cells by hash, as sampling.sample_cells draws them.
+_CENTRES = "SELECT * FROM (SELECT *, row_number() OVER (ORDER BY (\"row\" * 7919 + col * 104729 + 42) % 10007, \"row\", col) AS k FROM a) WHERE k <= 100"
 
 
-@query("unc_brute", f"WITH {_A}, k AS (SELECT sum(CASE WHEN a.id = b.id THEN 28e0 ELSE 28e0 - {gamma_sql('h')} END) AS t FROM (SELECT a.id AS aid, b.id AS bid, {_H} AS h FROM a, a b) x JOIN a ON a.id = aid JOIN a b ON b.id = bid) SELECT round(sqrt(greatest(0, t * 81e0 / ((9e0 * n) * (9e0 * n)))), 6) AS sigma FROM k, c")
+@query("unc_brute", f"WITH {_A}, k AS (SELECT sum(CASE WHEN a.id = b.id THEN 28e0 ELSE 28e0 - {gamma_sql('h')} END) AS t FROM (SELECT a.id AS aid, b.id AS bid, {_H} AS h FROM a, a b) x JOIN a ON a.id = aid JOIN a b ON b.id = bid) SELECT round(sqrt(greatest(0, t * 1e0 / ((1e0 * n) * (1e0 * n)))), 6) AS sigma FROM k, c")
 def unc_brute(spark, d):
     cells = _area(spark, d)
-    return r6(uncertainty.brute_force(cells, MODEL, 3.0, cells.count() * 9.0))
+    return r6(uncertainty.brute_force(cells, MODEL, 1.0, cells.count() * 1.0))
 
 
-@query("unc_offset_hist", f"WITH {_A}, k AS (SELECT sum(28e0 - {gamma_sql('h')}) AS t FROM (SELECT {_H} AS h FROM a, a b)) SELECT round(sqrt(greatest(0, t * 81e0 / ((9e0 * n) * (9e0 * n)))), 6) AS sigma FROM k, c")
+@query("unc_offset_hist", f"WITH {_A}, k AS (SELECT sum(28e0 - {gamma_sql('h')}) AS t FROM (SELECT {_H} AS h FROM a, a b)) SELECT round(sqrt(greatest(0, t * 1e0 / ((1e0 * n) * (1e0 * n)))), 6) AS sigma FROM k, c")
 def unc_offset_hist(spark, d):
     cells = _area(spark, d)
-    return r6(uncertainty.autocorrelation(cells, MODEL, 3.0, cells.count() * 9.0))
+    return r6(uncertainty.autocorrelation(cells, MODEL, 1.0, cells.count() * 1.0))
 
 
-@query("unc_kcentre", f"WITH {_A}, z AS (SELECT * FROM a WHERE id % 7 = 0), k AS (SELECT b.id, sum(1 - {gamma_sql('h')} / 28e0) AS i, count(*) AS n FROM (SELECT b.id, {_H} AS h FROM a, z b) b GROUP BY 1) SELECT round(sqrt(greatest(0, 28e0 * avg(i) / max(n))), 6) AS sigma FROM k")
+@query("unc_kcentre", f"WITH {_A}, z AS ({_CENTRES}), k AS (SELECT b.id, sum(1 - {gamma_sql('h')} / 28e0) AS i, count(*) AS n FROM (SELECT b.id, {_H} AS h FROM a, z b) b GROUP BY 1) SELECT round(sqrt(greatest(0, 28e0 * avg(i) / max(n))), 6) AS sigma FROM k")
 def unc_kcentre(spark, d):
-    numbered, _ = sampling.number(_area(spark, d), ["row", "col"])
-    cells = numbered.select("id", (F.col("col") * 3.0).alias("x"), (F.col("row") * 3.0).alias("y"))
-    return r6(uncertainty.k_centres(cells, cells.filter("id % 7 = 0").select(F.col("x").alias("cx"), F.col("y").alias("cy")), MODEL))
+    cells = _area(spark, d)
+    centres = sampling.sample_cells(cells, 100, sampling.hash_rank(42)).select(F.col("col").cast("double").alias("cx"), F.col("row").cast("double").alias("cy"))
+    return r6(uncertainty.k_centres(cells.select(F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y")), centres, MODEL))
 
 
 _PAIRS = _A + ", q AS (SELECT i AS pair, (i * 7919 + 13) % n AS i, (i * 104729 + 7) % n AS j FROM c, (SELECT unnest(range(5000)) AS i)), k AS (SELECT " + _H + " AS h FROM q JOIN a ON a.id = q.i JOIN a b ON b.id = q.j)"
@@ -630,7 +635,7 @@ _PAIRS = _A + ", q AS (SELECT i AS pair, (i * 7919 + 13) % n AS i, (i * 104729 +
 
 def _pairs(spark, d):
     numbered, n = sampling.number(_area(spark, d), ["row", "col"])
-    at = lambda k, m: numbered.select(F.col("id").alias(k), (F.col("col") * 3.0).alias(f"x{m}"), (F.col("row") * 3.0).alias(f"y{m}"))
+    at = lambda k, m: numbered.select(F.col("id").alias(k), F.col("col").cast("double").alias(f"x{m}"), F.col("row").cast("double").alias(f"y{m}"))
     picked = spark.range(5000).select((F.col("id") * 7919 + 13).alias("i"), (F.col("id") * 104729 + 7).alias("j")).select((F.col("i") % max(n, 1)).alias("i"), (F.col("j") % max(n, 1)).alias("j"))
     return picked.join(at("i", 1), "i").join(at("j", 2), "j")
 
@@ -714,47 +719,34 @@ def unc_regional(spark, d):
     return r6(one.uncertainty(polygon, raster_))
 
 
-@query("unc_kcentre_map", f"WITH {IN}, aa AS (SELECT col AS x, \"row\" AS y, row_number() OVER (ORDER BY \"row\", col) - 1 AS id FROM h WHERE poly_id = 2), mm AS (SELECT \"row\" // 4 AS \"row\", col // 4 AS col, avg(value * value) AS value FROM d GROUP BY 1, 2), "
+@query("unc_polygon")
+def unc_polygon(spark, d):
+    """Drawn pairs and 500 bootstrapped parameter sets: the correlated part of the polygon and the totals; hashed draws, rows only."""
+    refits = model.bootstrap(_mean(spark, d), *MODEL)
+    samples = refits.select("rep", F.slice("params", 1, 2).alias("sills"), F.slice("params", 3, 2).alias("ranges"), F.element_at("params", 5).alias("nug"))
+    one = regional.Regional.of(fx.diff(spark, d), fx.polygons(spark).filter("poly_id = 2"), MODEL, _LOW, _HIGH, samples=samples)
+    return r6(one.uncertainty(n=2000))
+
+
+@query("unc_kcentre_map", f"WITH {IN}, aa AS (SELECT col AS x, \"row\" AS y, \"row\" * 1000000 + col AS id, row_number() OVER (ORDER BY (\"row\" * 7919 + col * 104729 + 42) % 10007, \"row\", col) AS k FROM h WHERE poly_id = 2), mm AS (SELECT \"row\" // 4 AS \"row\", col // 4 AS col, avg(value * value) AS value FROM d GROUP BY 1, 2), "
        "gg AS (SELECT max(\"row\") AS r1, min(\"row\") AS r0, max(col) AS c1, min(col) AS c0 FROM mm), pp AS (SELECT aa.*, greatest(least(ceil(aa.y / 4e0 - 1), r1), r0) AS r, greatest(least(ceil(aa.x / 4e0 - 1), c1), c0) AS c FROM aa, gg), "
        "vv AS (SELECT avg(mm.value) AS variance FROM pp LEFT JOIN mm ON mm.\"row\" = pp.r AND mm.col = pp.c), "
-       f"kk AS (SELECT b.id, sum(1 - {gamma_sql('h')} / 28e0) AS i, count(*) AS n FROM (SELECT z.id, sqrt(CAST((a.x - z.x) * (a.x - z.x) + (a.y - z.y) * (a.y - z.y) AS DOUBLE)) AS h FROM aa a, aa z WHERE z.id % 17 = 0) b GROUP BY 1) "
+       f"kk AS (SELECT b.id, sum(1 - {gamma_sql('h')} / 28e0) AS i, count(*) AS n FROM (SELECT z.id, sqrt(CAST((a.x - z.x) * (a.x - z.x) + (a.y - z.y) * (a.y - z.y) AS DOUBLE)) AS h FROM aa a, aa z WHERE z.k <= 100) b GROUP BY 1) "
        "SELECT round(sqrt(greatest(0, avg(i) / max(n))) * sqrt(any_value(variance)), 6) AS sigma FROM kk, vv")
 def unc_kcentre_map(spark, d):
-    """All cells of the polygon, every seventeenth a centre, and a variance map of 4 by 4 cells."""
+    """All cells of the polygon, a hundred of them centres, and a variance map of 4 by 4 cells."""
     diff = fx.diff(spark, d)
     one = regional.Regional.of(diff, fx.polygons(spark).filter("poly_id = 2"), MODEL)
     cells = one.numbered(one.inside())
     variances = diff.groupBy(F.floor(F.col("row") / 4).alias("row"), F.floor(F.col("col") / 4).alias("col")).agg(F.avg(F.col("value") * F.col("value")).alias("value"))
-    centres = cells.filter("id % 17 = 0").select(F.col("x").alias("cx"), F.col("y").alias("cy"))
+    centres = sampling.sample_cells(cells, 100, sampling.hash_rank(42)).select(F.col("x").alias("cx"), F.col("y").alias("cy"))
     return r6(regional.local_k_centres(cells, centres, MODEL, variances, (4.0, 0.0, 4.0, 0.0)))
 
 
-# all cells of the polygon, where _area takes one of nine; the statements differ in that only
-_ALL = IN + ", a AS (SELECT \"row\", col, value, row_number() OVER (ORDER BY \"row\", col) - 1 AS id FROM h WHERE poly_id = 2), c AS (SELECT count(*) AS n FROM a)"
-
-
-def _whole_area(spark, d):
-    """Valid cells in the kite."""
-    return zonal.clip(fx.diff(spark, d), fx.polygon_edges(spark).filter("poly_id = 2")).select("row", "col", "value")
-
-
-@query("unc_brute_whole", ORACLES["unc_brute"].replace(_A, _ALL).replace("3e0 * sqrt", "1e0 * sqrt").replace("81e0", "1e0").replace("9e0 * n", "1e0 * n"))
-def unc_brute_whole(spark, d):
-    cells = _whole_area(spark, d)
-    return r6(uncertainty.brute_force(cells, MODEL, 1.0, cells.count() * 1.0))
-
-
-@query("unc_offset_hist_whole", ORACLES["unc_offset_hist"].replace(_A, _ALL).replace("3e0 * sqrt", "1e0 * sqrt").replace("81e0", "1e0").replace("9e0 * n", "1e0 * n"))
-def unc_offset_hist_whole(spark, d):
-    cells = _whole_area(spark, d)
-    return r6(uncertainty.autocorrelation(cells, MODEL, 1.0, cells.count() * 1.0))
-
-
-@query("variogram_single_whole", ORACLES["variogram_single"].replace(' WHERE ("row" * 7919 + col * 104729 + 42) % 10 = 0', ""))
+@query("variogram_single_whole", ORACLES["variogram_single"].replace(_S, f"{D}, s AS (SELECT {_ID} FROM d)").replace("round(ssd, 4)", "round(ssd, 1)"))
 def variogram_single_whole(spark, d):
-    cells = fx.diff(spark, d).select((F.col("row") * 100 + F.col("col")).alias("id"), F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"), "value")
-    out = variogram.variogram(cells, _W, _LAG)
-    return out.select("bin", "n", F.round("ssd", 4).alias("ssd"), F.round("gamma", 6).alias("gamma"))
+    out = variogram.variogram(_numbered(fx.diff(spark, d)), _W, _LAG)
+    return out.select("bin", "n", F.round("ssd", 1).alias("ssd"), F.round("gamma", 6).alias("gamma"))
 
 
 @query("unc_closed_form", "WITH n AS (SELECT p_partkey, p_size * 1000e0 / 4e0 AS n FROM part), t AS (SELECT p_partkey, 0.3e0 / sqrt(n) AS uncorrelated, sqrt(40e0 / n * (pi() * 64e0 / 20e0) + 10e0 / n * (pi() * 625e0 / 20e0)) AS correlated FROM n) SELECT p_partkey, round(uncorrelated, 6) AS uncorrelated, round(correlated, 6) AS correlated, round(sqrt(uncorrelated * uncorrelated + correlated * correlated), 6) AS total FROM t")

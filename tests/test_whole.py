@@ -30,7 +30,7 @@ def flood(cells):
 def test_patches_of_the_whole_grid(spark):
     rose = [(r["row"], r["col"]) for r in fx.diff(spark, DATA).filter("value > 0").collect()]
     assert max(i for i, _ in rose) > 90 and max(j for _, j in rose) > 90
-    assert sorted(tuple(r) for r in QUERIES["patches_whole"](spark, DATA).collect()) == flood(rose)
+    assert sorted(tuple(r) for r in QUERIES["patches"](spark, DATA).collect()) == flood(rose)
 
 
 def test_a_winding_patch_and_too_few_rounds(spark):
@@ -49,7 +49,7 @@ def test_uncertainty_and_variogram_take_all_cells(spark):
         return sum(sills) + nugget - nugget - sum(c * (1.5 * h / a - 0.5 * (h / a) ** 3) if h <= a else c for c, a in zip(sills, ranges))
 
     total = sum(covariance(((i - k) ** 2 + (j - m) ** 2) ** 0.5) for i, j, _ in cells for k, m, _ in cells)
-    assert QUERIES["unc_offset_hist_whole"](spark, DATA).first()["sigma"] == pytest.approx(total**0.5 / len(cells), abs=1e-5)
+    assert QUERIES["unc_offset_hist"](spark, DATA).first()["sigma"] == pytest.approx(total**0.5 / len(cells), abs=1e-5)
     grid = [(r["row"], r["col"]) for r in fx.diff(spark, DATA).collect()]
     near = sum(((i - k) ** 2 + (j - m) ** 2) < 16 for n, (i, j) in enumerate(grid) for k, m in grid[:n] if abs(i - k) < 4)
     assert {r["bin"]: r["n"] for r in QUERIES["variogram_single_whole"](spark, DATA).collect()}[0] == near
