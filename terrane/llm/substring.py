@@ -14,6 +14,10 @@ windows that lie on a shared passage's border, at all places of a segment in row
 
 Windows are compared by 96 bits of two independent hashes.
 
+An index can be closed and opened again, in another session too, to take further batches.  Runs hold segments, not texts: the
+windows on borders of what a new batch shares with older documents are verified on those documents' texts, so ``dedup``
+wants them as ``history`` and reads of them what holds a shared anchor.
+
 Nulls: a null text has no words.  A null doc_id counts as larger than all others; rows
 with the same doc_id aren't smaller than each other.  Repeated rows each get a row.  An
 empty table gives an empty table.  Further columns are ignored.
@@ -98,6 +102,7 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 _SEGMENT = pa.schema([("k", pa.int64()), ("th", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("fp", pa.int64()), ("seg", pa.int64()), ("chk", pa.int32())])
 SEGMENT = "k long, th int, a int, b int, fp long, seg long, chk int"
+RUN = "seg BIGINT, chk INT, k BIGINT, th INT, a INT, b INT, fp BIGINT"
 _WINDOW = pa.schema([("k", pa.int64()), ("th", pa.int32()), ("a", pa.int32()), ("s", pa.int32()), ("w", pa.int64()), ("c", pa.int32())])
 
 
@@ -128,9 +133,27 @@ def _keyed(docs: DataFrame) -> DataFrame:
 class SegmentIndex:
     """Immutable sorted runs of the segments seen so far: seg, chk and its first place (k, th, a, b, fp)."""
 
-    def __init__(self, spark: SparkSession) -> None:
+    def __init__(self, spark: SparkSession, buckets: int | None = None) -> None:
         self.spark, self.runs, self.found = spark, [], []
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    @classmethod
+    def open(cls, spark: SparkSession, closed: dict) -> SegmentIndex:
+        """The index that ``close`` described."""
+        out = cls(spark, closed["buckets"])
+        for path in closed["runs"]:
+            name = f"terrane_run_{uuid.uuid4().hex}"
+            spark.sql(f"CREATE TABLE {name} ({RUN}) USING parquet CLUSTERED BY (seg, chk) SORTED BY (seg, chk) INTO {out.buckets} BUCKETS LOCATION '{path}'")
+            out.runs.append((name, path))
+        return out
+
+    def close(self) -> dict:
+        """Forgets the runs' tables and says where their files are."""
+        for name, _ in self.runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        out = {"buckets": self.buckets, "runs": [path for _, path in self.runs]}
+        self.runs, self.found = [], []
+        return out
 
     def _write(self, rows: DataFrame) -> tuple[str, str]:
         name, path = f"terrane_run_{uuid.uuid4().hex}", new_path(self.spark, "run")
@@ -251,16 +274,21 @@ def batches_of(docs: DataFrame, n: int) -> list[DataFrame]:
     return out
 
 
-def dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """doc_id, n_words, n_removed and text (the kept words joined by a space), one row a document."""
-    index = SegmentIndex(docs.sparkSession)
+def dedup(docs: DataFrame, batches: int = BATCHES, index: SegmentIndex | None = None, history: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed and text (the kept words joined by a space), one row a document.
+
+    index: one that holds older documents, whose ids are not larger than those of ``docs``; history: these documents.  The index
+    then holds the new ones, too; without one, an index is made for this call.
+    """
+    held = index if index is not None else SegmentIndex(docs.sparkSession)
     keyed = _keyed(docs)
     gone = None
     for batch in batches_of(keyed, batches):
-        repeats = index.add(batch)
+        repeats = held.add(batch)
         gone = repeats if gone is None else gone.unionByName(repeats)
-    gone = gone.unionByName(index.verify(keyed))
-    index.drop()
+    gone = gone.unionByName(held.verify(keyed if history is None else _keyed(history).unionByName(keyed)))
+    if index is None:
+        held.drop()
     gone = gone.groupBy("k", "th").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_key().alias("k"), F.hash(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("th"), F.col("text").cast("string").alias("text"))
     rows = rows.join(gone, ["k", "th"], "left").select("doc_id", "text", "ranges")

@@ -79,3 +79,20 @@ def test_border_passages_repeated_inside_one_document(spark):
     assert sum(r[2] > 0 for r in want) >= 12
     for batches in (1, 3):
         assert run(frame(spark, rows), batches) == want
+
+
+def test_an_index_that_is_closed_and_opened_again(spark):
+    rows = sorted((r for r in shared_rows(3) if r[0] is not None), key=lambda r: r[0])
+    parts = [rows[:40], rows[40:75], rows[75:]]
+    want = {str((r[0], r[1])) + str(r[3]): r for r in brute(rows)}
+    index, seen, got = substring.SegmentIndex(spark), [], []
+    for part in parts:
+        history = frame(spark, seen) if seen else None
+        out = substring.dedup(frame(spark, part), 2, index, history)
+        got += [tuple(r) for r in out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256)).collect()]
+        seen += part
+        closed = index.close()
+        assert not [t.name for t in spark.catalog.listTables() if "terrane_run" in t.name]
+        index = substring.SegmentIndex.open(spark, closed)
+    index.drop()
+    assert sorted(got, key=str) == brute(rows) and len(want) > 50
