@@ -10,7 +10,7 @@ Known: WAV, BMP, PNG, AU, GIF, JPEG.  Whole values are searched.
 Nulls: a null value holds no media and has no type; a null declared type is corrected by
 what is found.  A value in which nothing is confirmed keeps no type, whatever was declared.
 Empty values hold nothing.  Repeated rows each get a row; an empty table gives an empty
-table.  Further columns are kept.
+table.  Further columns are kept, but for those named like a new column, which give way to it.
 """
 
 from __future__ import annotations

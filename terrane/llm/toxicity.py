@@ -18,7 +18,8 @@ a toxic token, and CLEAN_WINDOWS times as many (LEAST_CLEAN more) of clean docum
 Nulls: a null text has no tokens; texts without tokens score 0.  A null doc_id has no label
 and counts as the text '' for the held-out rule.  Rows of labels with nulls are ignored; of
 repeated ones each counts.  Without labels of both classes every score is 0.  Repeated rows
-each get a row; an empty table gives an empty table.  Further columns are ignored.
+each get a row; an empty table gives an empty table.  Further columns are kept, but for those named like a new
+column, which give way to it.
 """
 
 from __future__ import annotations
