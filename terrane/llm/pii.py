@@ -23,6 +23,8 @@ are.  Repeated rows each get a row; an empty table gives an empty table.  Furthe
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +51,8 @@ IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1
 IPV6 = r"(?<![\p{L}\p{N}:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])"
 NAME = r"\p{Lu}[\p{L}'’-]+"
 PERSON = rf"(?<!\p{{L}})(?:{FEMALE}|{MALE}|{OTHER})\.?[ ]{NAME}(?:[ ]{NAME})?"
+#: A person's form of address and blank.
+HEAD = rf"^(?:{FEMALE}|{MALE}|{OTHER})\.?[ ]"
 #: What every text is searched for; the first character is looked at before anything else.
 PLAIN = rf"(?=[0-9+(])(?:{'|'.join((IP, CARD, PHONE))})|(?=[A-Z])(?:{IBAN})|(?=[DFHMPSгГΚ])(?:{PERSON})"
 #: The same with the kinds that have a mark of their own.
@@ -64,6 +68,11 @@ SYLLABLES = {
 CYRILLIC, GREEK = "абвгдежзиклмнопрстуфхцчшщэюя", "αβγδεζηθικλμνξοπρστυφχψω"
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """What ``then`` makes of a value, which stands in the plan once and is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def pattern(text: Column) -> Column:
     """The pattern a text is searched by."""
     marks = text.contains("@") | text.rlike(":[0-9A-Fa-f]{0,4}:")
@@ -88,8 +97,7 @@ def _searched(text: Column) -> Column:
 def names_of(found: Column) -> Column:
     """The names of the persons among matches, as an array of struct(kind, value), each name once."""
     persons = F.filter(found, lambda m: m.rlike(f"^(?:{PERSON})$") & ~m.rlike(r"[@\d]"))
-    held = F.flatten(F.transform(persons, atoms))
-    return F.filter(held, lambda x, i: ~F.exists(F.slice(held, 1, i), lambda y: y["value"] == x["value"]))
+    return _once(F.flatten(F.transform(persons, person_atoms)), lambda held: F.filter(held, lambda x, i: ~F.exists(F.slice(held, 1, i), lambda y: y["value"] == x["value"])))
 
 
 def with_names(text: Column, names: Column) -> Column:
@@ -169,32 +177,38 @@ def _ip(digest: Column) -> Column:
 
 
 def _named(kind: Column, value: Column, digest: Column, round_: Column) -> Column:
-    out = None
-    for script, (syllables, female, male) in SYLLABLES.items():
-        parts = F.array(*[F.lit(s) for s in syllables.split(" ")])
-        n = F.when(kind.startswith("surname"), 4).otherwise(3) + F.greatest(round_ - LONGER_FROM + 1, F.lit(0))
-        stem = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(parts, _byte(digest, i) % 16)), "")  # noqa: B023
-        name = F.initcap(F.concat(stem, F.when(kind.startswith("given:f"), female).when(kind.startswith("given:m"), male).otherwise("")))
-        name = F.when((F.length(value) > 1) & (F.upper(value) == value), F.upper(name)).otherwise(name)
-        out = name if out is None else F.when(kind.endswith(script), name).otherwise(out)
-    return out
+    def by_script(one: Callable[[str], Column]) -> Column:
+        return F.when(kind.endswith("cyrillic"), one("cyrillic")).when(kind.endswith("greek"), one("greek")).otherwise(one("latin"))
+
+    parts = by_script(lambda x: F.split(F.lit(SYLLABLES[x][0]), " "))
+    ending = F.when(kind.startswith("given:f"), by_script(lambda x: F.lit(SYLLABLES[x][1]))).when(kind.startswith("given:m"), by_script(lambda x: F.lit(SYLLABLES[x][2]))).otherwise("")
+    n = F.when(kind.startswith("surname"), 4).otherwise(3) + F.greatest(round_ - LONGER_FROM + 1, F.lit(0))
+    stem = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(parts, _byte(digest, i) % 16)), "")
+    name = F.initcap(F.concat(stem, ending))
+    return F.when((F.length(value) > 1) & (F.upper(value) == value), F.upper(name)).otherwise(name)
 
 
 def surrogate(kind: Column, value: Column, round_: Column, key: str = KEY) -> Column:
     """The atom's surrogate of a round."""
-    digest = _bits(kind, value, round_, key)
     prefix = F.regexp_extract(value, r"^(\+\d{1,3}(?=[ .-]))?", 0)
-    phone = F.concat(prefix, like(F.substr(value, F.length(prefix) + 1), digest, round_))
     last = F.regexp_extract(value, r"\.[^.]+$", 0)
-    domain = F.concat(like(F.left(value, F.length(value) - F.length(last)), digest, round_), last)
-    return (F.when(kind == "ip", _ip(digest)).when(kind == "ipv6", _ipv6(value, digest)).when(kind == "iban", _iban(value, digest, round_)).when(kind == "card", _card(value, digest, round_)).when(kind == "phone", phone).when(kind == "domain", domain)
-            .when(kind == "secret", like(value, digest, round_, value.rlike("^[0-9a-f]+$"))).when(kind == "local", like(value, digest, round_))
-            .otherwise(_named(kind, value, digest, round_)))
+    # what is drawn by characters differs in which of them
+    before = F.when(kind == "phone", prefix).otherwise("")
+    after = F.when(kind == "domain", last).otherwise("")
+    drawn = F.substr(value, F.length(before) + 1, F.length(value) - F.length(before) - F.length(after))
+
+    def made(digest: Column) -> Column:
+        only_hex = (kind == "secret") & value.rlike("^[0-9a-f]+$")
+        return (F.when(kind == "ip", _ip(digest)).when(kind == "ipv6", _ipv6(value, digest)).when(kind == "iban", _iban(value, digest, round_)).when(kind == "card", _card(value, digest, round_))
+                .when(kind.isin("phone", "domain", "secret", "local"), F.concat(before, like(drawn, digest, round_, only_hex), after))
+                .otherwise(_named(kind, value, digest, round_)))
+
+    return _once(_bits(kind, value, round_, key), made)
 
 
 def _person(m: Column) -> tuple[Column, Column, Column, Column, Column]:
     """Head (form of address and blank), given name and its kind, surname and its kind."""
-    head = F.regexp_extract(m, rf"^(?:{FEMALE}|{MALE}|{OTHER})\.?[ ]", 0)
+    head = F.regexp_extract(m, HEAD, 0)
     names = F.substr(m, F.length(head) + 1)
     given = F.regexp_extract(names, rf"^({NAME})[ ]", 1)
     surname = F.substr(names, F.when(given == "", 1).otherwise(F.length(given) + 2))
@@ -209,32 +223,44 @@ def _secret(m: Column) -> tuple[Column, Column, Column]:
     return head, F.substr(m, F.length(head) + 1, F.length(m) - F.length(head) - F.length(tail)), tail
 
 
-def atoms(m: Column) -> Column:
-    """The atoms of a match, as an array of struct(kind, value)."""
-    atom = lambda k, v: F.struct((F.lit(k) if isinstance(k, str) else k).alias("kind"), v.alias("value"))
-    kind = kind_of(m)
+def _atom(kind: Column | str, value: Column) -> Column:
+    return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), value.alias("value"))
+
+
+def person_atoms(m: Column) -> Column:
+    """The atoms of a person, as an array of struct(kind, value)."""
     _, given, given_kind, surname, surname_kind = _person(m)
-    return (F.when(kind == "email", F.array(atom("local", F.regexp_extract(m, "^([^@]*)@", 1)), atom("domain", F.regexp_extract(m, "@(.*)$", 1))))
-            .when(kind == "secret", F.array(atom("secret", _secret(m)[1])))
-            .when(kind == "person", F.when(given == "", F.array(atom(surname_kind, surname))).otherwise(F.array(atom(given_kind, given), atom(surname_kind, surname))))
-            .otherwise(F.array(atom(kind, m))))
+    return F.when(given == "", F.array(_atom(surname_kind, surname))).otherwise(F.array(_atom(given_kind, given), _atom(surname_kind, surname)))
+
+
+def atoms(m: Column, kind: Column | None = None) -> Column:
+    """The atoms of a match, as an array of struct(kind, value)."""
+    if kind is None:
+        return _once(kind_of(m), lambda k: atoms(m, k))
+    return (F.when(kind == "email", F.array(_atom("local", F.regexp_extract(m, "^([^@]*)@", 1)), _atom("domain", F.regexp_extract(m, "@(.*)$", 1))))
+            .when(kind == "secret", F.array(_atom("secret", _secret(m)[1])))
+            .when(kind == "person", person_atoms(m))
+            .otherwise(F.array(_atom(kind, m))))
 
 
 def replacement(m: Column, draws: Column | None, names: Column, key: str) -> Column:
     """What stands for a match.  draws: map from 'kind|value' to the round of atoms that were redrawn; names: those of the
     document's persons."""
-    def made(k, v):
-        k = F.lit(k) if isinstance(k, str) else k
+    def made(atom: Column) -> Column:
+        k, v = atom["kind"], atom["value"]
         return surrogate(k, v, F.lit(0) if draws is None else F.coalesce(F.try_element_at(draws, F.concat_ws("|", k, v)), F.lit(0)), key)
 
-    kind = kind_of(m)
-    head, given, given_kind, surname, surname_kind = _person(m)
-    before, secret, after = _secret(m)
-    email = F.concat(made("local", F.regexp_extract(m, "^([^@]*)@", 1)), F.lit("@"), made("domain", F.regexp_extract(m, "@(.*)$", 1)))
-    person = F.concat(head, F.when(given == "", "").otherwise(F.concat(made(given_kind, given), F.lit(" "))), made(surname_kind, surname))
-    name = made(F.try_element_at(F.filter(names, lambda x: x["value"] == m), F.lit(1))["kind"], m)
-    out = F.when(kind == "email", email).when(kind == "secret", F.concat(before, made("secret", secret), after))
-    return out.when(kind == "person", person).when(kind == "name", name).otherwise(made(kind, m))
+    def built(kind: Column, parts: Column) -> Column:
+        head = F.regexp_extract(m, HEAD, 0)
+        before, _, after = _secret(m)
+        out = F.when(kind == "email", F.array_join(parts, "@")).when(kind == "secret", F.concat(before, F.get(parts, F.lit(0)), after))
+        return out.when(kind == "person", F.concat(head, F.array_join(parts, " "))).otherwise(F.get(parts, F.lit(0)))
+
+    def of(kind: Column) -> Column:
+        held = F.when(kind == "name", F.slice(F.filter(names, lambda x: x["value"] == m), 1, 1)).otherwise(atoms(m, kind))
+        return _once(F.transform(held, made), lambda parts: built(kind, parts))
+
+    return _once(kind_of(m), of)
 
 
 def assign(found: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataFrame:

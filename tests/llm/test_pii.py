@@ -174,3 +174,9 @@ def test_clashing_columns_empty_tables_and_long_texts(spark):
     assert pii.replace(spark.createDataFrame([], DOC)).count() == 0
     long = spark.createDataFrame([(1, "a" * 200_000 + " x@y.example " + "1." * 5000, "en", "s", 1)], DOC)
     assert " x@y.example " not in pii.replace(long).first().text
+
+
+def test_the_plan_stays_small(spark):
+    """An atom's surrogate stands in the plan once; plans of some MB each are kept in the driver's memory."""
+    out = pii.replace(frame(spark, texts()), counted="n")
+    assert len(out._jdf.queryExecution().toString()) < 1_000_000
