@@ -66,6 +66,15 @@ def passages(lines: DataFrame) -> DataFrame:
     return words.filter(F.size("words") > 0)
 
 
+def sources(lines: DataFrame, pieces: DataFrame) -> DataFrame:
+    """c, hash and source (the first message that has it in own words), for conversations that quote anything: what is said in
+    others can't be quoted.  lines, pieces: those of ``passages``."""
+    quoting = pieces.filter("level > 0").select("c").distinct()
+    short = lines.filter("level = 0 and norm <> ''").filter(F.size(F.split("norm", " ")) < SHINGLE).join(quoting, "c", "left_semi").select("c", "t", F.xxhash64("norm").alias("hash"))
+    said = pieces.filter("level = 0").join(quoting, "c", "left_semi").select("c", "t", F.explode(shingles(F.col("words"))).alias("hash"))
+    return said.unionByName(short).groupBy("c", "hash").agg(F.min("t").alias("source"))
+
+
 def without_quotes(text):
     """The own lines of a text, without the attributions right above quoted ones."""
     lines = F.split(text, "\n")
@@ -86,8 +95,7 @@ def link(messages: DataFrame, rounds: int = 64) -> DataFrame:
     # a repeated row's lines count once
     lines = stash(lines.select("c", "t", "h", "pos", "line.level", "line.norm").distinct(), "chatlines")
     pieces = stash(passages(lines), "passages")
-    short = lines.filter("level = 0 and norm <> ''").filter(F.size(F.split("norm", " ")) < SHINGLE).select("c", "t", F.xxhash64("norm").alias("hash"))
-    own = pieces.filter("level = 0").select("c", "t", F.explode(shingles(F.col("words"))).alias("hash")).unionByName(short).groupBy("c", "hash").agg(F.min("t").alias("source"))
+    own = sources(lines, pieces)
     quoted = pieces.filter("level > 0").select("c", "t", "h", "level", "piece", F.explode(shingles(F.col("words"))).alias("hash"))
     met = quoted.join(own, ["c", "hash"], "left").withColumn("source", F.when(F.col("source") < F.col("t"), F.col("source")))
     votes = met.groupBy("c", "t", "h", "level", "piece", "source").agg(F.count("*").alias("n"))

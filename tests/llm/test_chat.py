@@ -86,3 +86,11 @@ def test_a_long_chain_of_replies(spark):
     rows = [(1, i, "user", f"> say number {i - 1} here\nsay number {i} here") for i in range(40)]
     got = {r.turn: r for r in chat.link(spark.createDataFrame(rows, CONV)).collect()}
     assert [got[i].depth for i in range(40)] == list(range(40)) and {r.root_turn for r in got.values()} == {0}
+
+
+def test_only_conversations_that_quote_are_hashed(spark):
+    a = "a remark of quite a few words"
+    rows = [(1, 0, 0, 0, 0, a), (1, 1, 0, 0, 1, a), (2, 0, 0, 0, 0, a), (2, 1, 0, 0, 0, "short")]
+    given = spark.createDataFrame(rows, "c long, t long, h long, pos int, level int, norm string")
+    got = chat.sources(given, chat.passages(given)).collect()
+    assert {(r.c, r.source) for r in got} == {(1, 0)} and len(got) == 3
